@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules
+from . import common, line_dedup, mixing, pack_bfd, pack_kk, quality_rules, simhash_anchor, token_counts, tokens
 
 
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +13,33 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("__id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_risk_controlled_rules,)}
-ORACLES = {"op5_risk_controlled_rules": quality_rules.oracle()}
+def op1_best_fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_bfd.pack(common.read(spark, sf_dir, "documents"), tokens.default_path())
+
+
+def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(common.read(spark, sf_dir, "documents"), count_cols=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchor.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.probabilities(common.read(spark, sf_dir, "documents"))
+    return p.select(F.col("__id").alias("doc_id"), *mixing.TAU, "n_tokens", "p", "sampled")
+
+
+def op9_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pack_kk.pack(common.read(spark, sf_dir, "documents"), tokens.default_path())
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_matrix, op2_trie_token_counts, op5_risk_controlled_rules, op6_deletion_lines, op7_anchor_simhash, op8_raked_mixture, op9_differencing_windows)}
+ORACLES = {"op5_risk_controlled_rules": quality_rules.oracle(), "op6_deletion_lines": line_dedup.ORACLE, "op8_raked_mixture": mixing.oracle()}
