@@ -132,11 +132,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ORACLE = rf"""
 with l as (select doc_id, no - 1 as no, ls[no] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as no from documents)
   ),
-c as (select *, row_number() over (order by doc_id, no) as at from l where length(line) >= {MIN_CHARS} and regexp_matches(line, '[^\x20\x09-\x0D]')),
-f as (select line, min(at) as at, length(line) as n from c group by line),
-hk as (select line, at, n, f.n + d as full, s, case when s = 0 then line[1:((f.n + d) // 2)] else line[f.n - ((f.n + d) - (f.n + d) // 2) + 1:] end as half from f, (values (0), (1)) t(d), (values (0), (1)) u(s)),
-dom as (select distinct a.line from hk a join hk b on a.full = b.full and a.s = b.s and a.half = b.half and b.at < a.at and levenshtein(a.line, b.line) <= 1),
-gone as (select c.doc_id, c.no from c join f using (line) where c.at <> f.at or c.line in (select line from dom)),
+c as (select *, row_number() over (order by doc_id, no) as pl from l where length(line) >= {MIN_CHARS} and regexp_matches(line, '[^\x20\x09-\x0D]')),
+f as (select line, min(pl) as pl, length(line) as n from c group by line),
+hk as (select line, pl, n, f.n + d as full, s, case when s = 0 then line[1:((f.n + d) // 2)] else line[f.n - ((f.n + d) - (f.n + d) // 2) + 1:] end as half from f, (values (0), (1)) t(d), (values (0), (1)) u(s)),
+dom as (select distinct a.line from hk a join hk b on a.full = b.full and a.s = b.s and a.half = b.half and b.pl < a.pl and levenshtein(a.line, b.line) <= 1),
+gone as (select c.doc_id, c.no from c join f using (line) where c.pl <> f.pl or c.line in (select line from dom)),
 t as (select l.doc_id, string_agg(line, chr(10) order by l.no) filter (where gone.no is null) as text, count(*) as n_lines, count(gone.no) as n_removed
   from l left join gone using (doc_id, no) group by l.doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(t.text, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed from documents d left join t using (doc_id)"""
