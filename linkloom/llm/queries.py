@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, mixing, pack_bfd, pack_kk, quality_rules, simhash_anchor, token_counts, tokens
+from . import chat_preference, common, embed_cross_polytope, line_dedup, mixing, pack_bfd, pack_kk, pii_feistel, quality_rules, simhash_anchor, token_counts, tokens
+
+
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    t = common.read(spark, sf_dir, "conversations")
+    return chat_preference.preferences(t, F.expr("cast(floor(conv_id / 2) as bigint)"), F.expr("conv_id % 2 = 0"))
+
+
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_cross_polytope.near_vectors(common.read(spark, sf_dir, "embeddings"))
 
 
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +51,9 @@ def op9_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_matrix, op2_trie_token_counts, op5_risk_controlled_rules, op6_deletion_lines, op7_anchor_simhash, op8_raked_mixture, op9_differencing_windows)}
-ORACLES = {"op5_risk_controlled_rules": quality_rules.oracle(), "op6_deletion_lines": line_dedup.ORACLE, "op8_raked_mixture": mixing.oracle()}
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(common.read(spark, sf_dir, "documents"), key="a demonstration key")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_matrix, op2_trie_token_counts, op3_preference_pairs, op4_cross_polytope, op5_risk_controlled_rules, op6_deletion_lines, op7_anchor_simhash, op8_raked_mixture, op9_differencing_windows, op10_feistel_pseudonyms)}
+ORACLES = {"op3_preference_pairs": chat_preference.ORACLE, "op5_risk_controlled_rules": quality_rules.oracle(), "op6_deletion_lines": line_dedup.ORACLE, "op8_raked_mixture": mixing.oracle()}
