@@ -121,5 +121,5 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     d = d.withColumn("__gaps", F.when(F.exists("__k", lambda k: k.isNotNull()), F.split(t, ANY)))
     d = d.withColumn("__new", F.when(F.col("__gaps").isNotNull(), F.transform("__m", lambda m, i: pseudonym(m, F.get("__k", i), key))))
     text = F.when(F.col("__gaps").isNull(), t).otherwise(F.array_join(F.transform("__gaps", lambda g, i: F.concat(g, F.coalesce(F.get("__new", i), F.lit("")))), ""))
-    counts = [F.coalesce(F.size(F.filter("__k", lambda v, kind=kind: v == kind)), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.expr(f"cast(size(filter(__k, v -> v <=> '{kind}')) as bigint)").alias(f"n_{kind}") for kind in KINDS]
     return d.select(F.col(id_col), text.alias("text"), *counts)
