@@ -1,4 +1,425 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the SQL that says what each must return.
+
+The driver's tables have no business records, so `records` makes some of documents: a document is a record of source
+1, 2 or 3, its first words a name and an address; records with equal texts are the same business. Where a query needs a
+score and no model, ids give one (`with_score`)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity
+from ..functions import text as X
+from ..operators import assign, blocking, features, metrics, models, normalize, sampling, tfidf
+from ..sources import io
+from . import sql as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+BLOCK = 20
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    ws = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), S.SPACE, " ")), " ")
+    return d.select(
+        F.col("doc_id").alias("rid"), (1 + F.col("doc_id") % 3).cast("int").alias("src"), F.concat(F.lit("E"), "doc_id").alias("entity_id"), F.coalesce("lang", F.lit("UNKNOWN")).alias("country"),
+        F.array_join(F.slice(ws, 1, 5), " ").alias("business_name"), F.array_join(F.slice(ws, 6, 8), " ").alias("business_address"), F.col("text"),
+    )
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(records(spark, sf_dir), other_scripts=False)
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = entities(spark, sf_dir)
+    return e.where("src = 1"), e.where("src <> 1")
+
+
+def truth(s1: DataFrame, s23: DataFrame) -> DataFrame:
+    """Pairs with equal texts. One text may be common to very many records: that is the size of the truth."""
+    a = s1.select(F.col("rid").alias("s1_rid"), "country", "text")
+    return a.join(s23.select("src", F.col("rid").alias("cand_rid"), "country", "text"), ["country", "text"]).select("s1_rid", "src", "cand_rid")
+
+
+def with_score(pairs: DataFrame, out: str = "score") -> DataFrame:
+    return pairs.withColumn(out, ((F.col("s1_rid") * 7919 + F.col("cand_rid") * 104729 + F.col("src") * 31) % 1000 + 1) / 1000.0)
+
+
+def cands(s1: DataFrame, s23: DataFrame) -> DataFrame:
+    return blocking.key_candidates(s1, s23, BLOCK)
+
+
+CLEAN = "rid, src, entity_id, country, name_clean, name_core, name_compact, name_skel, legal_form, is_web, name_nonlatin, addr_clean, array_to_string(addr_numbers, ',') as numbers, postcode, is_landmark, addr_missing"
+
+
+def _clean(e: DataFrame, *more: str) -> DataFrame:
+    return e.select(*more, "name_clean", "name_core", "name_compact", "name_skel", "legal_form", "is_web", "name_nonlatin", "addr_clean", F.array_join("addr_numbers", ",").alias("numbers"), "postcode", "is_landmark", "addr_missing")
+
+
+@query(S.ENT + f"select {CLEAN} from ent")
+def clean_records(spark, sf_dir):
+    return _clean(entities(spark, sf_dir), "rid", "src", "entity_id", "country")
+
+
+CASES = [
+    ("m0tors stee1 block5 Private Limited", "1 main st, ohio, texas"), ("baabaa paavr", "oregon drive"), ("baba power", "5 elm st, connecticut"), ("https://www.celina-motors.com/", "12 oak 12 012"),
+    ("Private Limited", "12345 x 678901"), ("The Smith & Sons Co", None), ("M/S Étienne Œuvre SARL", "N° 12, rue de l'Été"), ("Straße GmbH", "12 x near city"), ("", ""), ("and li", "st, new york, ohio"),
+]
+_VALUES = ", ".join("(" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in CASES)
+
+
+@query(f"with v as (select * from (values {_VALUES}) t(business_name, business_address)), {S.clean_ctes('v')} select business_name, {CLEAN.replace('rid, src, entity_id, country, ', '')} from ent")
+def clean_cases(spark, sf_dir):
+    """Cases that documents lack, inline."""
+    return _clean(normalize.normalize(spark.createDataFrame(CASES, "business_name string, business_address string"), other_scripts=False), "business_name")
+
+
+@query("select * from (values ('जैन मोटर्स', 'jain motors'), ('राम', 'raama'), ('plain', 'plain'), ('Łódź', 'Lodz')) t(name, latin)")
+def other_scripts(spark, sf_dir):
+    """A learnt dictionary's words first, then letters by their names."""
+    df = spark.createDataFrame([("जैन मोटर्स",), ("राम",), ("plain",), ("Łódź",)], "name string")
+    return df.select("name", X.transliterate(F.col("name"), {"जैन": "jain", "मोटर्स": "motors"}).alias("latin"))
+
+
+@query(r"select page_id, nullif(regexp_extract(lower(regexp_replace(url, '^(https?://)([^./]+).*$', '\1\2.com')), '" + S.T.WEB + "', 1), '') as domain from pages")
+def web_domains(spark, sf_dir):
+    u = F.lower(F.regexp_replace("url", r"^(https?://)([^./]+).*$", "$1$2.com"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.web_domain(u).alias("domain"))
+
+
+@query(S.ENT + "select rid, src, lower(name_core || ' | ' || legal_form || ' | ' || addr_clean) as t from ent")
+def record_texts(spark, sf_dir):
+    return entities(spark, sf_dir).select("rid", "src", normalize.record_text().alias("t"))
+
+
+@query("with d as (select coalesce(lang, 'UNKNOWN') as country, 1 + doc_id % 3 as src from documents) select country, count(*) as n, count(*) filter (where src = 1) as n_s1 from d group by all")
+def country_counts(spark, sf_dir):
+    return records(spark, sf_dir).groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("src") == 1).alias("n_s1"))
+
+
+@query(S.ENT + S.S + "select distinct country from s1")
+def country_list(spark, sf_dir):
+    return io.countries(records(spark, sf_dir).where("src = 1"))
+
+
+@query(S.ENT + S.S + S.SIMPLE + "select * from sk")
+def simple_keys(spark, sf_dir):
+    return blocking.simple_keys(entities(spark, sf_dir)).select("src", "rid", "country", "k_name", "k_num_word", "k_two_words")
+
+
+SIMPLE = S.ENT + S.S + S.SIMPLE + S.candidates("cand", "sk", S.SIMPLE_PAIRS, 30)
+
+
+@query(SIMPLE + "select * from cand")
+def simple_candidates(spark, sf_dir):
+    return blocking.simple_candidates(*sides(spark, sf_dir))
+
+
+EXACT = SIMPLE + S.paired("name_core", "addr_clean") + """,
+sc as (select s1_rid, src, cand_rid, case when name_core_1 = name_core_2 then 60 else 0 end + case when addr_clean_1 = addr_clean_2 then 40 else 0 end as score from pr)""" + S.OWNER
+LISTS = """,
+li as (select s1_rid, string_agg(distinct entity_id, ',' order by entity_id) as ids from {m} m join s23 on s23.src = m.src and s23.rid = m.cand_rid group by s1_rid)
+select s1.entity_id as source1_entity_id, coalesce(ids, '') as matched_entity_ids from s1 left join li on li.s1_rid = s1.rid"""
+
+
+def _exact(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    p = features.with_records(blocking.simple_candidates(s1, s23), s1, s23, ["name_core", "addr_clean"])
+    score = F.when(F.col("name_core_1") == F.col("name_core_2"), 60).otherwise(0) + F.when(F.col("addr_clean_1") == F.col("addr_clean_2"), 40).otherwise(0)
+    return s1, s23, p.select("s1_rid", "src", "cand_rid", score.alias("score"))
+
+
+@query(EXACT + ",\nm as (select * from own where score >= 60)" + LISTS.format(m="m"))
+def link_exact(spark, sf_dir):
+    """The flagship: candidates by three keys, exact agreement, one owner per record, a list for every record of source 1."""
+    s1, s23, p = _exact(spark, sf_dir)
+    return assign.to_lists(assign.assign_threshold(p, 60), s1, s23, "matched_entity_ids")
+
+
+@query(S.ENT + S.S + S.DF + "select * from wd")
+def word_frequencies(spark, sf_dir):
+    return blocking.word_df(sides(spark, sf_dir)[1])
+
+
+@query(S.ENT + S.S + S.DF + S.RAREST + "select src, rid, rn1, rn2 from rn")
+def rarest_words(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    return blocking.rarest(e, "name_core", blocking.word_df(e.where("src <> 1")), 2, "rn")
+
+
+@query(S.ENT + S.S + S.DF + S.RAREST + S.KEYS + "select * from keys")
+def block_keys(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    return blocking.add_keys(e, blocking.word_df(e.where("src <> 1")))
+
+
+@query(S.BASE + "select * from cand")
+def key_candidates(spark, sf_dir):
+    return cands(*sides(spark, sf_dir))
+
+
+@query("""with l as (select p_partkey, p_brand as country, p_name as k from part), r as (select *, count(*) over (partition by country, k) as n from l)
+select a.p_partkey as s1_rid, cast(2 as int) as src, b.p_partkey as cand_rid from l a join r b on a.country = b.country and a.k = b.k where n <= 6""")
+def skewed_blocks(spark, sf_dir):
+    """Few names for many parts: blocks over the limit give nothing."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("rid"), F.col("p_brand").alias("country"), F.col("p_name").alias("k"), F.lit(2).alias("src"))
+    return blocking.candidates(p.drop("src"), p, [("k", "k")], 6)
+
+
+@query(S.ENT + S.vectors() + "select country, src, rid, field, term, round(w, 6) as w from vec")
+def tfidf_vectors(spark, sf_dir):
+    return tfidf.vectors(entities(spark, sf_dir)).withColumn("w", F.round("w", 6))
+
+
+@query(S.ENT + S.S + S.vectors() + S.search(200, 50, 20, 5, 5, 5))
+def tfidf_search(spark, sf_dir):
+    f = tfidf.search(*sides(spark, sf_dir), depth=50, max_postings=200)
+    return f.select("s1_rid", "src", "cand_rid", *[F.round(c, 6).alias(c) for c in ("cos_name", "cos_addr", "cos_comb")])
+
+
+CONTEXT = """select s1_rid, src, cand_rid, score, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as rank_in_s1, round(max(score) over (partition by s1_rid) - score, 6) as gap_to_best_in_s1,
+count(*) over (partition by s1_rid) as n_cands_s1, row_number() over (partition by s1_rid, src order by score desc, cand_rid) as rank_in_s1_src, row_number() over (partition by src, cand_rid order by score desc, s1_rid) as rank_in_cand,
+round(max(score) over (partition by src, cand_rid) - score, 6) as gap_to_best_in_cand, count(*) over (partition by src, cand_rid) as n_s1_for_cand from """
+
+
+@query(S.SCORED + ",\ntp as (select * exclude (i) from (select *, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as i from sc) where i <= 10) " + CONTEXT + "tp")
+def context_features(spark, sf_dir):
+    d = features.context(features.top_per_s1(with_score(cands(*sides(spark, sf_dir))), 10))
+    return d.withColumns({c: F.round(c, 6) for c in ("gap_to_best_in_s1", "gap_to_best_in_cand")})
+
+
+_B = "cast({} as int)::double"
+_NUM = "case when len(addr_numbers_1) > 0 and len(addr_numbers_2) > 0 then {} end"
+PLAIN = S.BASE + S.paired(*features.RECORD) + f"""
+select s1_rid, src, cand_rid, {_NUM.format(_B.format("(addr_numbers_1[1] = addr_numbers_2[1])"))} as num_first_equal,
+round({_NUM.format("len(list_intersect(addr_numbers_1, addr_numbers_2)) / len(list_distinct(list_concat(addr_numbers_1, addr_numbers_2)))")}, 6) as num_jaccard,
+{_NUM.format(_B.format("(len(list_filter(addr_numbers_1, lambda u: len(list_filter(addr_numbers_2, lambda v: u <> v and (starts_with(u, v) or starts_with(v, u)))) > 0)) > 0)"))} as num_prefix,
+coalesce({_NUM.format("0.0")}, 1.0)::double as num_missing, case when legal_form_1 <> '' and legal_form_2 <> '' then {_B.format("(legal_form_1 = legal_form_2)")} end as legal_equal,
+{_B.format("((legal_form_1 = '') <> (legal_form_2 = ''))")} as legal_one_missing, {_B.format("(name_core_1 = name_core_2)")} as name_exact, {_B.format("(name_skel_1 = name_skel_2)")} as skel_exact,
+length(name_core_1)::double as len_name_1, length(name_core_2)::double as len_name_2, {_B.format("is_web_2")} as web_2, {_B.format("name_nonlatin_2")} as nonlatin_2, {_B.format("addr_missing_2")} as addr_missing_2,
+{_B.format("(is_landmark_1 or is_landmark_2)")} as landmark_any from pr"""
+
+
+@query(PLAIN)
+def plain_pair_features(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    p = features.with_records(cands(s1, s23), s1, s23, features.RECORD)
+    return p.select("s1_rid", "src", "cand_rid", *[c.alias(n) for n, c in features.plain_features(p).items()]).withColumn("num_jaccard", F.round("num_jaccard", 6))
+
+
+@query(S.BASE + S.paired("country", "name_compact", "addr_numbers") + f""",
+c1 as (select country, name_compact, count(*) * 1e6 / sum(count(*)) over (partition by country) as r from s1 group by all), c2 as (select country, name_compact, count(*) * 1e6 / sum(count(*)) over (partition by country) as r from s23 group by all)
+select s1_rid, src, cand_rid, round(c1.r, 6) as s1_name_count, round(c2.r, 6) as s23_name_count, {_NUM.format(_B.format("(list_sort(addr_numbers_1) = list_sort(addr_numbers_2))"))} as num_all_equal,
+{_NUM.format(_B.format("(addr_numbers_1[-1] = addr_numbers_2[-1])"))} as num_last_equal, {_NUM.format(_B.format("(len(list_filter(addr_numbers_2, lambda v: not list_contains(addr_numbers_1, v))) = 0)"))} as num_b_subset_a
+from pr left join c1 on c1.country = country_1 and c1.name_compact = name_compact_1 left join c2 on c2.country = country_2 and c2.name_compact = name_compact_2""")
+def extra_features(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return features.extra_features(cands(s1, s23), s1, s23).withColumns({c: F.round(c, 6) for c in ("s1_name_count", "s23_name_count")})
+
+
+@query(S.BASE + S.paired("name_compact") + "select s1_rid, src, cand_rid, round(case when name_compact_1 = '' or name_compact_2 = '' then cast(name_compact_1 = name_compact_2 as int) else jaro_winkler_similarity(name_compact_1, name_compact_2) end, 5) as jw from pr")
+def jaro_winkler(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    p = features.with_records(cands(s1, s23), s1, s23, ["name_compact"])
+    return features.add_similarity(p, "jw", "name_compact_1", "name_compact_2", "jaro_winkler").select("s1_rid", "src", "cand_rid", F.round("jw", 5).alias("jw"))
+
+
+@query()
+def string_similarities(spark, sf_dir):
+    """All similarities of names and addresses; tests hold them against slow definitions."""
+    s1, s23 = sides(spark, sf_dir)
+    p = features.with_records(blocking.simple_candidates(s1, s23, 10), s1, s23, ["name_core"])
+    return p.select("s1_rid", "src", "cand_rid", *[similarity.udf(n)("name_core_1", "name_core_2").alias(n) for n in similarity.SCORERS])
+
+
+@query()
+def simple_scores(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return features.simple_score(blocking.simple_candidates(s1, s23), s1, s23)
+
+
+def _scored(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return s1, s23, features.rule_score(cands(s1, s23), s1, s23)
+
+
+@query()
+def rule_scores(spark, sf_dir):
+    return _scored(spark, sf_dir)[2]
+
+
+@query()
+def pair_features(spark, sf_dir):
+    """The 33 features of the first learner."""
+    s1, s23, p = _scored(spark, sf_dir)
+    return features.pair_features(features.context(features.top_per_s1(p, 10)), s1, s23)
+
+
+@query(S.SCORED + S.OWNER + "select * from own")
+def one_owner(spark, sf_dir):
+    return assign.one_owner(with_score(cands(*sides(spark, sf_dir))))
+
+
+@query(S.SCORED + S.OWNER + "select * from own where score >= 0.65")
+def owner_threshold(spark, sf_dir):
+    return assign.assign_threshold(with_score(cands(*sides(spark, sf_dir))), 0.65)
+
+
+EXPECTED = S.SCORED + S.OWNER + """,
+rk as (select *, sum(score) over (partition by s1_rid order by score desc, src, cand_rid rows unbounded preceding) as cum, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as j,
+  sum(score) over (partition by s1_rid) as tot, exp(sum(ln(1 - least(score, 1 - 1e-9))) over (partition by s1_rid)) as none from own),
+ef as (select *, 1.25 * cum / (0.25 * tot + j) as ef from rk), be as (select *, max(ef) over (partition by s1_rid) as best from ef),
+bj as (select *, min(j) filter (where ef = best) over (partition by s1_rid) as bj from be),
+ex as (select s1_rid, src, cand_rid, score from bj where best > none and j <= bj)"""
+
+
+@query(EXPECTED + "select * from ex")
+def expected_sets(spark, sf_dir):
+    return assign.assign_expected(with_score(cands(*sides(spark, sf_dir))), "score")
+
+
+@query(S.SCORED + S.TRUTH + S.OWNER + S.f05("own") + "select s1_rid, n_truth, n_pred, hit, round(f05, 6) as f05 from ff")
+def f05_by_record(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return metrics.f05(assign.one_owner(with_score(cands(s1, s23))), truth(s1, s23), s1).withColumn("f05", F.round("f05", 6))
+
+
+@query(EXPECTED + S.TRUTH + S.f05("ex") + "select round(avg(f05), 6) as macro_f05, count(*) as n_s1 from ff")
+def macro_f05(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    m = metrics.macro_f05(assign.assign_expected(with_score(cands(s1, s23)), "score"), truth(s1, s23), s1)
+    return m.withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query(S.BASE + S.TRUTH + "select count(*) as n_truth, count(h) as n_hit, round(count(h) / count(*), 6) as recall from truth left join (select *, 1 as h from cand) using (s1_rid, src, cand_rid)")
+def blocking_recall(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return metrics.recall(cands(s1, s23), truth(s1, s23)).withColumn("recall", F.round("recall", 6))
+
+
+GRID = [0.2, 0.35, 0.5, 0.65, 0.8, 0.9]
+
+
+@query(S.SCORED + S.TRUTH + S.OWNER + f""",
+th as (select unnest({GRID}) as threshold), g as (select threshold, own.* from th join own on score >= threshold),
+gp as (select threshold, g.s1_rid, count(*) as n_pred, count(t) as hit from g left join (select distinct *, 1 as t from truth) using (s1_rid, src, cand_rid) group by all),
+nt as (select s1_rid, count(*) as n_truth from (select distinct * from truth) group by all),
+al as (select threshold, rid as s1_rid, coalesce(n_truth, 0) as n_truth, coalesce(n_pred, 0) as n_pred, coalesce(hit, 0) as hit from s1 cross join th left join nt on nt.s1_rid = rid left join gp using (s1_rid, threshold))
+select threshold::double as threshold, round(avg(case when n_truth = 0 and n_pred = 0 then 1.0 when hit = 0 then 0.0 else 1.25 * hit / (0.25 * n_truth + n_pred) end), 6) as macro_f05 from al group by all""")
+def threshold_grid(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return metrics.threshold_grid(with_score(cands(s1, s23)), truth(s1, s23), s1, GRID).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query(S.BASE + S.TRUTH + "select cand.*, cast(coalesce(l, 0) as int) as label from cand left join (select distinct *, 1 as l from truth) using (s1_rid, src, cand_rid)")
+def labelled_pairs(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return metrics.label(cands(s1, s23), truth(s1, s23))
+
+
+@query(S.ENT + S.S + S.TRUTH + "select * from truth")
+def true_pairs(spark, sf_dir):
+    """Lists of ids, split and looked up."""
+    s1, s23 = sides(spark, sf_dir)
+    lists = assign.to_lists(truth(s1, s23), s1, s23, "matched_entity_ids")
+    return io.truth_pairs(io.split_ids(lists), s1, s23)
+
+
+@query(S.SCORED + S.OWNER + LISTS.format(m="own"))
+def match_lists(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    return assign.to_lists(assign.one_owner(with_score(cands(s1, s23))), s1, s23, "matched_entity_ids")
+
+
+@query(S.ENT + S.S + S.TRUTH + """,
+k as (select *, row_number() over (partition by country order by rid) as i from s1), kept as (select * from k where i <= 60), nn as (select country, count(*) as n from s1 group by all),
+ow as (select distinct src, cand_rid as rid from truth where s1_rid in (select rid from kept)), de as (select s23.*, row_number() over (partition by s23.country order by rid, src) as i, count(*) over (partition by s23.country) as t
+  from s23 left join (select distinct src, cand_rid as rid, 1 as x from truth) o using (src, rid) where x is null)
+select src, rid from kept union all select src, rid from ow union all select src, rid from de left join nn using (country) where i <= ceil(t * least(1.0, 60 / coalesce(n, 1)))""")
+def training_universe(spark, sf_dir):
+    """Semi and anti joins; drawn by id here, so that SQL can draw alike."""
+    s1, s23 = sides(spark, sf_dir)
+    a, b = sampling.universe(s1, s23, truth(s1, s23), 60, draw=lambda c: c)
+    return a.select("src", "rid").unionByName(b.select("src", "rid"))
+
+
+@query()
+def holdout_split(spark, sf_dir):
+    return sides(spark, sf_dir)[0].select(F.col("rid").alias("s1_rid")).select("s1_rid", sampling.is_holdout().alias("holdout"), sampling.group_of().alias("grp"))
+
+
+_SH = "avg(cast(len(list_intersect({0}_1, {0}_2)) > 0 as int))"
+_SW = "avg(cast(len(list_intersect(string_split({0}_1, ' '), string_split({0}_2, ' '))) > 0 as int))"
+
+
+@query(S.ENT + S.S + S.TRUTH + S.paired("name_core", "name_compact", "addr_numbers", "addr_clean").replace("from cand c", "from truth c") + f"""
+select count(*) as n_pairs, round(avg(cast(name_core_1 = name_core_2 as int)), 6) as name_core_equal, round(avg(cast(name_compact_1 = name_compact_2 as int)), 6) as name_compact_equal, round({_SW.format("name_core")}, 6) as share_name_token,
+round({_SH.format("addr_numbers")}, 6) as share_addr_number, round({_SW.format("addr_clean")}, 6) as share_addr_token from pr""")
+def clean_report(spark, sf_dir):
+    s1, s23 = sides(spark, sf_dir)
+    r = metrics.clean_report(truth(s1, s23), s1, s23)
+    return r.select("n_pairs", *[F.round(c, 6).alias(c) for c in r.columns[1:]])
+
+
+@query("select * from (values ('क', 'ka', cast(3 as bigint), 0.6), ('ख', 'kha', cast(3 as bigint), 1.0)) t(native, latin, n, share)")
+def learnt_dictionary(spark, sf_dir):
+    """Seen 3 of 5 and 3 of 3 times: kept; 3 of 6 and 2 of 2: not."""
+    rows = [("ka", "क")] * 3 + [("x", "क"), ("y", "क"), ("Kha", "ख"), ("kha!", "ख"), ("kha", "ख")] + [("ga", "ग")] * 3 + [("x", "ग"), ("y", "ग"), ("z", "ग")] + [("gha", "घ")] * 2 + [("a b", "क"), ("ka", "ka")]
+    return normalize.learn_dictionary(spark.createDataFrame(rows, "n1 string, n2 string")).withColumn("share", F.round("share", 6))
+
+
+@query(S.SCORED + """,
+b as (select s1_rid, 5 - src as src, cand_rid as other_rid, score as p1_best_other_src from (select *, row_number() over (partition by s1_rid, src order by score desc, cand_rid) as i from sc) where i = 1)
+select s1_rid, src, cand_rid, score as p1, row_number() over (partition by s1_rid order by score desc, src, cand_rid)::double as p1_rank, round(sum(score) over (partition by s1_rid), 6) as p1_sum,
+(count(*) filter (where score > 0.5) over (partition by s1_rid))::double as n_strong, round(max(score) over (partition by src, cand_rid) - score, 6) as p1_owner_gap, other_rid, p1_best_other_src
+from sc left join b using (s1_rid, src)""")
+def stage2_windows(spark, sf_dir):
+    d = features.stage2_windows(with_score(cands(*sides(spark, sf_dir)), "p1")).drop("other_src")
+    return d.withColumns({c: F.round(c, 6) for c in ("p1_sum", "p1_owner_gap")})
+
+
+@query(S.SCORED + """,
+ce as (select s1_rid, src, cand_rid, case when cand_rid % 4 <> 0 then score end as ce from sc)
+select *, round(ce - max(ce) over (partition by s1_rid), 6) as ce_gap, case when ce is not null then row_number() over (partition by s1_rid order by ce desc nulls last, src, cand_rid) end::double as ce_rank from ce""")
+def text_score_features(spark, sf_dir):
+    p = cands(*sides(spark, sf_dir))
+    return features.add_ce(p, with_score(p, "ce").where("cand_rid % 4 <> 0")).withColumn("ce_gap", F.round("ce_gap", 6))
+
+
+def _training(spark, sf_dir):
+    """Scored, labelled pairs with the 13 features of the pruner and their search scores."""
+    from ..plans.stages import candidate_pairs
+
+    s1, s23 = sides(spark, sf_dir)
+    return s1, s23, metrics.label(candidate_pairs(s1, s23), truth(s1, s23))
+
+
+@query()
+def pruned_candidates(spark, sf_dir):
+    """Keys and search together, a first model, and the best twelve pairs of each record."""
+    from . import stages
+
+    s1, s23, p = _training(spark, sf_dir)
+    return stages.prune(p, stages.fit_pruner(p))
+
+
+@query()
+def boosted_matches(spark, sf_dir):
+    """All stages: candidates, pruner, text scores, two boosted models (the first cross-fitted), expected-F0.5 sets."""
+    from . import stages
+
+    s1, s23 = sides(spark, sf_dir)
+    return stages.train_and_match(s1, s23, truth(s1, s23))
