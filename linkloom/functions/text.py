@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def _spell(text: str) -> str:
 
 @lru_cache(1)
 def _spell_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def spell(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else _spell(x))

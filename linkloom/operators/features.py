@@ -31,10 +31,8 @@ def with_records(pairs: DataFrame, s1: DataFrame, s23: DataFrame, cols: list[str
 
 
 def add_similarity(df: DataFrame, out: str, a: str, b: str, scorer: str) -> DataFrame:
-    """A similarity, computed once for each distinct pair of strings: names repeat, and the UDF is the costly part."""
-    d = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
-    d = d.withColumn(out, similarity.udf(scorer)("_a", "_b"))
-    return df.join(d, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b"))).drop("_a", "_b")
+    """A similarity of two columns. Several of them go through one Arrow pass: nothing is shuffled in between."""
+    return df.withColumn(out, similarity.udf(scorer)(a, b))
 
 
 def top_per_s1(df: DataFrame, k: int) -> DataFrame:

@@ -221,7 +221,7 @@ def plain_pair_features(spark, sf_dir):
 
 
 @query(S.BASE + S.paired("country", "name_compact", "addr_numbers") + f""",
-c1 as (select country, name_compact, count(*) * 1e6 / sum(count(*)) over (partition by country) as r from s1 group by all), c2 as (select country, name_compact, count(*) * 1e6 / sum(count(*)) over (partition by country) as r from s23 group by all)
+c1 as (select country, name_compact, n * 1e6 / sum(n) over (partition by country) as r from (select country, name_compact, count(*) as n from s1 group by all)), c2 as (select country, name_compact, n * 1e6 / sum(n) over (partition by country) as r from (select country, name_compact, count(*) as n from s23 group by all))
 select s1_rid, src, cand_rid, round(c1.r, 6) as s1_name_count, round(c2.r, 6) as s23_name_count, {_NUM.format(_B.format("(list_sort(addr_numbers_1) = list_sort(addr_numbers_2))"))} as num_all_equal,
 {_NUM.format(_B.format("(addr_numbers_1[-1] = addr_numbers_2[-1])"))} as num_last_equal, {_NUM.format(_B.format("(len(list_filter(addr_numbers_2, lambda v: not list_contains(addr_numbers_1, v))) = 0)"))} as num_b_subset_a
 from pr left join c1 on c1.country = country_1 and c1.name_compact = name_compact_1 left join c2 on c2.country = country_2 and c2.name_compact = name_compact_2""")
@@ -317,7 +317,7 @@ GRID = [0.2, 0.35, 0.5, 0.65, 0.8, 0.9]
 th as (select unnest({GRID}) as threshold), g as (select threshold, own.* from th join own on score >= threshold),
 gp as (select threshold, g.s1_rid, count(*) as n_pred, count(t) as hit from g left join (select distinct *, 1 as t from truth) using (s1_rid, src, cand_rid) group by all),
 nt as (select s1_rid, count(*) as n_truth from (select distinct * from truth) group by all),
-al as (select threshold, rid as s1_rid, coalesce(n_truth, 0) as n_truth, coalesce(n_pred, 0) as n_pred, coalesce(hit, 0) as hit from s1 cross join th left join nt on nt.s1_rid = rid left join gp using (s1_rid, threshold))
+al as (select e.threshold, e.rid as s1_rid, coalesce(n_truth, 0) as n_truth, coalesce(n_pred, 0) as n_pred, coalesce(hit, 0) as hit from (select rid, threshold from s1 cross join th) e left join nt on nt.s1_rid = e.rid left join gp on gp.s1_rid = e.rid and gp.threshold = e.threshold)
 select threshold::double as threshold, round(avg(case when n_truth = 0 and n_pred = 0 then 1.0 when hit = 0 then 0.0 else 1.25 * hit / (0.25 * n_truth + n_pred) end), 6) as macro_f05 from al group by all""")
 def threshold_grid(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
@@ -384,10 +384,10 @@ def learnt_dictionary(spark, sf_dir):
 @query(S.SCORED + """,
 b as (select s1_rid, 5 - src as src, cand_rid as other_rid, score as p1_best_other_src from (select *, row_number() over (partition by s1_rid, src order by score desc, cand_rid) as i from sc) where i = 1)
 select s1_rid, src, cand_rid, score as p1, row_number() over (partition by s1_rid order by score desc, src, cand_rid)::double as p1_rank, round(sum(score) over (partition by s1_rid), 6) as p1_sum,
-(count(*) filter (where score > 0.5) over (partition by s1_rid))::double as n_strong, round(max(score) over (partition by src, cand_rid) - score, 6) as p1_owner_gap, other_rid, p1_best_other_src
+(count(*) filter (where score > 0.5) over (partition by s1_rid))::double as n_strong, round(max(score) over (partition by src, cand_rid) - score, 6) as p1_owner_gap, p1_best_other_src
 from sc left join b using (s1_rid, src)""")
 def stage2_windows(spark, sf_dir):
-    d = features.stage2_windows(with_score(cands(*sides(spark, sf_dir)), "p1")).drop("other_src")
+    d = features.stage2_windows(with_score(cands(*sides(spark, sf_dir)), "p1")).drop("other_src", "other_rid")
     return d.withColumns({c: F.round(c, 6) for c in ("p1_sum", "p1_owner_gap")})
 
 
