@@ -72,7 +72,8 @@ def _dominated(lines: DataFrame, first: DataFrame) -> DataFrame:
     some = lines.join(bits, F.expr(f"shiftrightunsigned(h, 6) & {BITMAP_WORDS - 1}") == F.col("__word"))
     some = some.where("shiftrightunsigned(__bits, cast(h & 63 as int)) & 1 = 1").select("h", "at", "line")
     # One line of each h: that at its earliest place.
-    some = common.materialise(some.join(near.select("h", "at").distinct(), ["h", "at"], "left_semi").dropDuplicates(["h", "at"]), "lines")
+    # Not a semi join: the optimizer would move that below the bitmap and shuffle every line.
+    some = common.materialise(some.join(near.select("h", "at").distinct(), ["h", "at"]).dropDuplicates(["h", "at"]), "lines")
     seg = some.join(near.select("h", "x", "key"), "h").withColumns({"full": F.expr(f"length(line) + cast(floor(x / {PARTS}) as int)"), "j": F.col("x") % PARTS})
     _, _, size = _part("line", "length(line)", "full", "j", PARTS)
     start, end = f"cast(floor(j * full / {PARTS}) as int)", f"cast(floor((j + 1) * full / {PARTS}) as int)"
