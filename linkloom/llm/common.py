@@ -56,5 +56,16 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     return [F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0"))).alias("__th")]
 
 
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """df as one column __row beside more: its own columns cannot clash with those of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *more)
+
+
+def rows_with_key(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__row (see whole_rows), __id and __th of the rows of docs whose key is one of keys (__id, __th)."""
+    d, k = whole_rows(docs, *row_key(docs, id_col, text_col)).alias("d"), keys.select("__id", "__th").alias("k")
+    return d.join(k, F.col("d.__th").eqNullSafe(F.col("k.__th")) & F.col("d.__id").eqNullSafe(F.col("k.__id")), "left_semi")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -121,13 +121,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, count_cols: bool = False) -> DataFrame:
     """docs with the text that is left; with count_cols also n_lines (all, before) and n_removed."""
     gone = removed_lines(docs, id_col, text_col, min_chars).alias("g")
-    d = docs.select("*", *_cols(docs, id_col, text_col)).alias("d")
-    j = d.join(gone, ["__rk", "__th"], "left")
-    j = j.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns], F.col("g.gone").alias("__gone"), F.split(F.col(f"d.`{text_col}`"), "\n").alias("__ls"))
+    text = F.col(f"__row.`{text_col}`")
+    j = common.whole_rows(docs, *_cols(docs, id_col, text_col)).join(gone, ["__rk", "__th"], "left")
+    j = j.select("__row", F.col("g.gone").alias("__gone"), F.split(text, "\n").alias("__ls"))
     # __ls is used twice and so is computed once, before the lambda that looks lines up in it.
-    j = j.withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i)), '\n')")))
+    j = j.withColumn("__left", F.when(F.col("__gone").isNull(), text).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i)), '\n')")))
     counts = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(n) for c, n in (("__ls", "n_lines"), ("__gone", "n_removed"))] if count_cols else []
-    return j.select(*[F.col("__left").alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    return j.select(*[F.col("__left").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns], *counts)
 
 
 ORACLE = rf"""

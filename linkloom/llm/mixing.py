@@ -78,9 +78,8 @@ def probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are drawn, with all their columns."""
-    kept = probabilities(docs, id_col, text_col, **options).where("sampled").select("__id", "__th").distinct().alias("k")
-    d = docs.select("*", *common.row_key(docs, id_col, text_col)).alias("d")
-    return d.join(kept, F.col("d.__th").eqNullSafe(F.col("k.__th")) & F.col("d.__id").eqNullSafe(F.col("k.__id")), "left_semi").drop("__id", "__th")
+    kept = probabilities(docs, id_col, text_col, **options).where("sampled").select("__id", "__th").distinct()
+    return common.rows_with_key(docs, kept, id_col, text_col).select("__row.*")
 
 
 def oracle(tau: dict = TAU, keep: float = KEEP, sweeps: int = SWEEPS, docs: str = "documents") -> str:

@@ -118,10 +118,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the rules reject; all columns stay as they are."""
     v = verdicts(docs, labels, **options).where("kept").select("__id", "__th").distinct()
-    key = common.row_key(docs, options.get("id_col", "doc_id"), options.get("text_col", "text"))
-    d = docs.select("*", *key).alias("d")
-    v = v.alias("v")
-    return d.join(v, F.col("d.__th").eqNullSafe(F.col("v.__th")) & F.col("d.__id").eqNullSafe(F.col("v.__id")), "left_semi").drop("__id", "__th")
+    return common.rows_with_key(docs, v, options.get("id_col", "doc_id"), options.get("text_col", "text")).select("__row.*")
 
 
 def oracle(alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> str:

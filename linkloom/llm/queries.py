@@ -34,7 +34,7 @@ def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(common.read(spark, sf_dir, "documents"), count_cols=True).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"), count_cols=True)
 
 
 def op7_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

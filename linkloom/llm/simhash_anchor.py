@@ -235,18 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row for each class: its smallest id and, among equal ids, the smallest text hash and then any one
     of the equal rows. Ids that are null count as larger than all others."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0"))).alias("__th"))
+    rows = docs.select(F.col(text_col), *common.row_key(docs, id_col, text_col))
     fps = common.materialise(fingerprints(rows, ["__id", "__th"], text_col), "fps")
     distinct = common.materialise(fps.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("nil"), "__id", "__th")).alias("low")), "distinct")
     roots = graph.components(link(distinct, **options))
     best = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
     best = best.select(F.col("low.__id").alias("__id"), F.col("low.__th").alias("__th")).distinct()
     best = common.materialise(best, "best").alias("k")
-    d = docs.select("*", *common.row_key(docs, id_col, text_col)).alias("d")
-    kept = d.join(best, F.col("d.__th").eqNullSafe(F.col("k.__th")) & F.col("d.__id").eqNullSafe(F.col("k.__id")), "left_semi")
+    kept = common.rows_with_key(docs, best, id_col, text_col)
     # Only if a row that stays stands there more than once do the texts have to be compared, that is, shuffled again.
     twice = fps.groupBy("__id", "__th").count().where("count > 1").alias("t")
     on = F.col("t.__th").eqNullSafe(F.col("k.__th")) & F.col("t.__id").eqNullSafe(F.col("k.__id"))
     if not twice.join(best, on, "left_semi").isEmpty():
         kept = kept.dropDuplicates(["__id", "__th"])
-    return kept.drop("__id", "__th")
+    return kept.select("__row.*")
