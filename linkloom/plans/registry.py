@@ -423,3 +423,75 @@ def boosted_matches(spark, sf_dir):
 
     s1, s23 = sides(spark, sf_dir)
     return stages.train_and_match(s1, s23, truth(s1, s23))
+
+
+_CODES = "list_concat(list_transform(range(1, length({0}) + 1), lambda i: cast(ascii({0}[i]) + 3 as bigint)), list_transform(range(100 - length({0})), lambda i: cast(0 as bigint)))"
+
+
+@query(S.BASE + S.paired("name_core", "legal_form", "addr_clean") + r""",
+tx as (select s1_rid, src, cand_rid, left(regexp_replace(lower(name_core_1 || ' | ' || legal_form_1 || ' | ' || addr_clean_1), '[^\x00-\x7F]', '', 'g'), 100) as a,
+  left(regexp_replace(lower(name_core_2 || ' | ' || legal_form_2 || ' | ' || addr_clean_2), '[^\x00-\x7F]', '', 'g'), 100) as b from pr)
+select s1_rid, src, cand_rid, '1,' || array_to_string(""" + _CODES.format("a") + ", ',') || ',2,' || array_to_string(" + _CODES.format("b") + ", ',') as codes from tx")
+def pair_text_codes(spark, sf_dir):
+    """The text scorer's input: both records' texts as one sequence of character codes."""
+    from . import stages
+
+    s1, s23 = sides(spark, sf_dir)
+    p = stages.with_texts(cands(s1, s23), s1, s23)
+    return p.select("s1_rid", "src", "cand_rid", F.array_join(normalize.pair_codes(F.col("ta"), F.col("tb")).cast("array<string>"), ",").alias("codes"))
+
+
+@query(S.BASE + S.TRUTH + ",\nlab as (select cand.* from cand semi join truth using (s1_rid, src, cand_rid))" + S.f05("lab") + " select round(avg(f05), 6) as macro_f05, count(*) as n_s1 from ff")
+def perfect_model_f05(spark, sf_dir):
+    from . import workflows
+
+    s1, s23 = sides(spark, sf_dir)
+    return workflows.ceiling(cands(s1, s23), truth(s1, s23), s1).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query()
+def simple_tuning(spark, sf_dir):
+    """F0.5 by threshold of the scores by simple keys."""
+    from . import workflows
+
+    s1, s23 = sides(spark, sf_dir)
+    return workflows.tune(s1, s23, truth(s1, s23), workflows.simple_pairs, workflows.SIMPLE_GRID, 200_000)[1]
+
+
+@query()
+def rule_tuning(spark, sf_dir):
+    """F0.5 by threshold of the scores by full keys."""
+    from . import workflows
+
+    s1, s23 = sides(spark, sf_dir)
+    return workflows.tune(s1, s23, truth(s1, s23), workflows.rule_pairs, workflows.RULE_GRID, 50_000, "country")[1]
+
+
+@query()
+def threshold_matches(spark, sf_dir):
+    """One boosted model on 33 features and the threshold that its holdout chooses."""
+    from . import workflows
+
+    s1, s23 = sides(spark, sf_dir)
+    model, config = workflows.train_threshold(s1, s23, truth(s1, s23))
+    return workflows.match_threshold(model, config["threshold"], s1, s23)[1]
+
+
+@query()
+def dumped_pairs(spark, sf_dir):
+    """Pairs with texts and labels for a text scorer."""
+    from . import stages, workflows
+
+    s1, s23, p = _training(spark, sf_dir)
+    return workflows.dump_pairs(p, stages.fit_pruner(p), s1, s23)
+
+
+@query()
+def unseen_country_f05(spark, sf_dir):
+    """Learnt from English records alone, tested on German ones."""
+    from . import workflows
+
+    s1, s23 = sides(spark, sf_dir)
+    t = truth(s1, s23)
+    x = metrics.label(workflows.featured_pairs(s1, s23), t)
+    return workflows.unseen_country(x, t, s1, "en", "de", features.FEATURES_33, rounds=5, depth=3)

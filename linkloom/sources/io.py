@@ -71,8 +71,11 @@ def write_clean(df: DataFrame, path: str) -> None:
 
 
 def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None, countries: list[str] | None = None) -> DataFrame:
-    """Clean records; only the asked columns and countries are read."""
-    df = spark.read.option("basePath", path).parquet(path)
+    """Clean records; only the asked columns and countries are read. Folders have no empty name, so an empty country is
+    written as null and becomes empty again; a stated type keeps country 01 from becoming the number 1."""
+    schema = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField("country", T.StringType()) if f.name == "country" else f for f in schema])
+    df = spark.read.schema(schema).option("basePath", path).parquet(path).withColumn("country", F.coalesce("country", F.lit("")))
     df = df.where(F.col("country").isin(countries)) if countries else df
     return df.select(*columns) if columns else df
 
