@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..functions import text as X
 from ..operators import assign, blocking, features, metrics, models, normalize, sampling, tfidf
-from ..sources import io
+from ..sources import io, scratch
 from . import sql as S
 
 QUERIES: dict = {}
@@ -32,10 +32,10 @@ def query(oracle: str | None = None):
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    ws = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), S.SPACE, " ")), " ")
+    ws = F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")), S.SPACE, 14)  # thirteen words and the rest
     return d.select(
         F.col("doc_id").alias("rid"), (1 + F.col("doc_id") % 3).cast("int").alias("src"), F.concat(F.lit("E"), "doc_id").alias("entity_id"), F.coalesce("lang", F.lit("UNKNOWN")).alias("country"),
-        F.array_join(F.slice(ws, 1, 5), " ").alias("business_name"), F.array_join(F.slice(ws, 6, 8), " ").alias("business_address"), F.col("text"),
+        F.array_join(F.slice(ws, 1, 5), " ").alias("business_name"), F.array_join(F.slice(ws, 6, 8), " ").alias("business_address"), F.sha2("text", 256).alias("digest"),
     )
 
 
@@ -43,15 +43,21 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(records(spark, sf_dir), other_scripts=False)
 
 
+def raw_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = records(spark, sf_dir)
+    return r.where("src = 1"), r.where("src <> 1")
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = entities(spark, sf_dir)
+    """Clean records, written once: a plan reads them several times, and each time only the columns it needs."""
+    e = scratch.keep(entities(spark, sf_dir))
     return e.where("src = 1"), e.where("src <> 1")
 
 
 def truth(s1: DataFrame, s23: DataFrame) -> DataFrame:
-    """Pairs with equal texts. One text may be common to very many records: that is the size of the truth."""
-    a = s1.select(F.col("rid").alias("s1_rid"), "country", "text")
-    return a.join(s23.select("src", F.col("rid").alias("cand_rid"), "country", "text"), ["country", "text"]).select("s1_rid", "src", "cand_rid")
+    """Pairs with equal texts, compared by their SHA-256. One text may be common to very many records: that is the size of the truth."""
+    a = s1.select(F.col("rid").alias("s1_rid"), "country", "digest")
+    return a.join(s23.select("src", F.col("rid").alias("cand_rid"), "country", "digest"), ["country", "digest"]).select("s1_rid", "src", "cand_rid")
 
 
 def with_score(pairs: DataFrame, out: str = "score") -> DataFrame:
@@ -333,7 +339,7 @@ def labelled_pairs(spark, sf_dir):
 @query(S.ENT + S.S + S.TRUTH + "select * from truth")
 def true_pairs(spark, sf_dir):
     """Lists of ids, split and looked up."""
-    s1, s23 = sides(spark, sf_dir)
+    s1, s23 = raw_sides(spark, sf_dir)
     lists = assign.to_lists(truth(s1, s23), s1, s23, "matched_entity_ids")
     return io.truth_pairs(io.split_ids(lists), s1, s23)
 
@@ -351,14 +357,14 @@ ow as (select distinct src, cand_rid as rid from truth where s1_rid in (select r
 select src, rid from kept union all select src, rid from ow union all select src, rid from de left join nn using (country) where i <= ceil(t * least(1.0, 60 / coalesce(n, 1)))""")
 def training_universe(spark, sf_dir):
     """Semi and anti joins; drawn by id here, so that SQL can draw alike."""
-    s1, s23 = sides(spark, sf_dir)
+    s1, s23 = raw_sides(spark, sf_dir)
     a, b = sampling.universe(s1, s23, truth(s1, s23), 60, draw=lambda c: c)
     return a.select("src", "rid").unionByName(b.select("src", "rid"))
 
 
 @query()
 def holdout_split(spark, sf_dir):
-    return sides(spark, sf_dir)[0].select(F.col("rid").alias("s1_rid")).select("s1_rid", sampling.is_holdout().alias("holdout"), sampling.group_of().alias("grp"))
+    return raw_sides(spark, sf_dir)[0].select(F.col("rid").alias("s1_rid")).select("s1_rid", sampling.is_holdout().alias("holdout"), sampling.group_of().alias("grp"))
 
 
 _SH = "avg(cast(len(list_intersect({0}_1, {0}_2)) > 0 as int))"
@@ -374,7 +380,7 @@ def clean_report(spark, sf_dir):
     return r.select("n_pairs", *[F.round(c, 6).alias(c) for c in r.columns[1:]])
 
 
-@query("select * from (values ('क', 'ka', cast(3 as bigint), 0.6), ('ख', 'kha', cast(3 as bigint), 1.0)) t(native, latin, n, share)")
+@query("select * from (values ('क', 'ka', cast(3 as bigint), cast(0.6 as double)), ('ख', 'kha', cast(3 as bigint), cast(1.0 as double))) t(native, latin, n, share)")
 def learnt_dictionary(spark, sf_dir):
     """Seen 3 of 5 and 3 of 3 times: kept; 3 of 6 and 2 of 2: not."""
     rows = [("ka", "क")] * 3 + [("x", "क"), ("y", "क"), ("Kha", "ख"), ("kha!", "ख"), ("kha", "ख")] + [("ga", "ग")] * 3 + [("x", "ग"), ("y", "ग"), ("z", "ग")] + [("gha", "घ")] * 2 + [("a b", "क"), ("ka", "ka")]
