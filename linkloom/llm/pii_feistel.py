@@ -1,6 +1,7 @@
 """Format-preserving pseudonyms for numbers and dates in texts, by keyed Feistel permutations.
 
-Found and validated: payment card numbers (13 to 16 digits, Luhn), national numbers ddd-dd-dddd (area not 000, 666 or
+Found and validated: payment card numbers (13 to 16 digits, Luhn; also in groups
+of 4-4-4-4 or 4-6-5 digits, which share the unbroken number's pseudonym), national numbers ddd-dd-dddd (area not 000, 666 or
 9xx, no group of zeros), telephone numbers of ten digits with an optional +1, IPv4 addresses (octets to 255) and dates
 (yyyy-mm-dd, and mm/dd/yyyy, real days from 1901 to 2096). Each value is an element of the product of two ranges of just
 its format's size, and a Feistel network with modular addition (SHA-256 of key, kind, round and the other half)
@@ -21,7 +22,7 @@ from . import common
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-CARD = r"(?<![0-9.])[0-9]{13,16}(?![0-9])"
+CARD = r"(?<![0-9.])(?:[0-9]{13,16}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4} [0-9]{6} [0-9]{5})(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 NATIONAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
@@ -78,7 +79,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda o: o.cast("int") < 256), "ipv4"))
         .when(day.isNotNull(), F.when(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull() & year.between(1901, 2096), "date"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), "national"))
-        .when(m.rlike("^[0-9]{13,16}$"), F.when(luhn_sum(m) % 10 == 0, "card"))
+        .when(m.rlike("^([0-9]{13,16}$|[0-9]{4}[ -][0-9]{4})"), F.when(luhn_sum(m) % 10 == 0, "card"))
         .when(m.rlike("[0-9]"), "phone")
     )
 
@@ -89,6 +90,9 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     payload = _digits("card", F.left(only, F.length(only) - 1), key)
     # The check digit is the one digit that completes the sum.
     card = F.concat(payload, ((10 - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10).cast("string"))
+    # Separators go back to where they stood: groups of 4, 4, 4 and 4 digits or of 4, 6 and 5.
+    groups = lambda *cuts: F.concat(*[x for i, (a, n) in enumerate(cuts) for x in ([F.substring(m, 5, 1)] if i else []) + [F.substring(card, a, n)]])
+    card = F.when(m.rlike("^[0-9]+$"), card).when(F.length(only) == 16, groups((1, 4), (5, 4), (9, 4), (13, 4))).otherwise(groups((1, 4), (5, 6), (11, 5)))
     ten = _digits("phone", F.right(only, F.lit(10)), key)
     back = r"[0-9]{3}([^0-9]*)[0-9]{3}([^0-9]*)[0-9]{4}$"
     phone = F.concat(F.regexp_replace(m, back, ""), F.left(ten, F.lit(3)), F.regexp_extract(m, back, 1), F.substring(ten, 4, 3), F.regexp_extract(m, back, 2), F.right(ten, F.lit(4)))

@@ -284,6 +284,15 @@ def test_pseudonyms(spark):
     assert "300.1.1.1" in got[3] and "10.20.30.40" not in got[3] and "000-12-3456" in got[5] and "mail5" not in got[4]
 
 
+def test_pseudonyms_of_grouped_cards(spark):
+    texts = ["4111111111111111 378282246310005", "4111-1111-1111-1111 and 3782 822463 10005.", "4111 1111 1111 1111; 3782-822463-10005", "4111-1111-1111-1112 4111-1111 1111-1111 4111-1111-1111-1111-5"]
+    got = [r.text for r in pii_feistel.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    a, b = got[0].split()
+    quad, amex = [a[i : i + 4] for i in range(0, 16, 4)], [b[:4], b[4:10], b[10:]]
+    assert luhn(a) and luhn(b) and a != "4111111111111111" and len(b) == 15
+    assert got[1] == f"{'-'.join(quad)} and {' '.join(amex)}." and got[2] == f"{' '.join(quad)}; {'-'.join(amex)}" and got[3] == texts[3]
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
