@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import common, line_dedup, mixing, pack_kk, quality_rules, simhash_anchor, tokens
+from linkloom.llm import common, line_dedup, mixing, pack_kk, quality_rules, shingle_minhash, tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class."""
-    return simhash_anchor.keep_one(docs)
+    """One document of each class by SimHash or by five-word shingles."""
+    return shingle_minhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,6 +158,11 @@ def _spread(distinct: DataFrame, crowded: list[int], homes_only: bool) -> DataFr
     return distinct.select("fp").mapInArrow(run, "key long, role int, fp long")
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of longs; bitwise_count alone takes a negative number's absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _links(batches):
     """(a, b): every row that links with a home gets one link; homes that a row or a link joins get one link each."""
     homes, labels, out = np.zeros(0, np.int64), buckets.Labels(), []
@@ -177,7 +182,7 @@ def _links(batches):
             homes = np.concatenate([homes, own])
             for s in range(len(homes) - len(own), len(homes), 512):
                 for t in range(0, min(s + 512, len(homes)), 2048):
-                    x, y = np.nonzero(np.bitwise_count(homes[s : s + 512, None] ^ homes[None, t : t + 2048]) <= THRESHOLD)
+                    x, y = np.nonzero(_bits(homes[s : s + 512, None] ^ homes[None, t : t + 2048]) <= THRESHOLD)
                     labels.join(x + s, y + t)
         rest = fp[role != buckets.HOME]
         if not len(homes):
@@ -186,7 +191,7 @@ def _links(batches):
             some = rest[t : t + 2048]
             first = np.full(len(some), -1)
             for s in range(0, len(homes), 512):
-                y, x = np.nonzero(np.bitwise_count(some[:, None] ^ homes[None, s : s + 512]) <= THRESHOLD)
+                y, x = np.nonzero(_bits(some[:, None] ^ homes[None, s : s + 512]) <= THRESHOLD)
                 if len(y):
                     fresh = first[y] < 0
                     np.maximum.at(first, y[fresh], x[fresh] + s)
@@ -232,13 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row for each class: its smallest id and, among equal ids, the smallest text hash and then any one
-    of the equal rows. Ids that are null count as larger than all others."""
-    rows = docs.select(F.col(text_col), *common.row_key(docs, id_col, text_col))
-    fps = common.materialise(fingerprints(rows, ["__id", "__th"], text_col), "fps")
-    distinct = common.materialise(fps.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("nil"), "__id", "__th")).alias("low")), "distinct")
-    roots = graph.components(link(distinct, **options))
+def lowest(fps: DataFrame) -> DataFrame:
+    """fp, each once, with its lowest row: the smallest id (null last) and, among equal ids, the smallest text hash."""
+    return common.materialise(fps.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("nil"), "__id", "__th")).alias("low")), "distinct")
+
+
+def first_rows(docs: DataFrame, fps: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the lowest of their class."""
     best = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
     best = best.select(F.col("low.__id").alias("__id"), F.col("low.__th").alias("__th")).distinct()
     best = common.materialise(best, "best").alias("k")
@@ -249,3 +254,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     if not twice.join(best, on, "left_semi").isEmpty():
         kept = kept.dropDuplicates(["__id", "__th"])
     return kept.select("__row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row for each class: its smallest id and, among equal ids, the smallest text hash and then any one
+    of the equal rows. Ids that are null count as larger than all others."""
+    rows = docs.select(F.col(text_col), *common.row_key(docs, id_col, text_col))
+    fps = common.materialise(fingerprints(rows, ["__id", "__th"], text_col), "fps")
+    distinct = lowest(fps)
+    return first_rows(docs, fps, distinct, graph.components(link(distinct, **options)), id_col, text_col)
