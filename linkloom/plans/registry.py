@@ -247,7 +247,7 @@ def jaro_winkler(spark, sf_dir):
 def string_similarities(spark, sf_dir):
     """All similarities of names and addresses; tests hold them against slow definitions."""
     s1, s23 = sides(spark, sf_dir)
-    p = features.with_records(blocking.simple_candidates(s1, s23, 10), s1, s23, ["name_core"])
+    p = features.with_records(blocking.simple_candidates(s1, s23, 30), s1, s23, ["name_core"])
     return p.select("s1_rid", "src", "cand_rid", *[similarity.udf(n)("name_core_1", "name_core_2").alias(n) for n in similarity.SCORERS])
 
 
@@ -259,7 +259,7 @@ def simple_scores(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
-    return s1, s23, features.rule_score(cands(s1, s23), s1, s23)
+    return s1, s23, features.rule_score(blocking.key_candidates(s1, s23, 50), s1, s23)
 
 
 @query()
@@ -271,7 +271,7 @@ def rule_scores(spark, sf_dir):
 def pair_features(spark, sf_dir):
     """The 33 features of the first learner."""
     s1, s23, p = _scored(spark, sf_dir)
-    return features.pair_features(features.context(features.top_per_s1(p, 10)), s1, s23)
+    return features.pair_features(features.context(features.top_per_s1(p, 40)), s1, s23)
 
 
 @query(S.SCORED + S.OWNER + "select * from own")
