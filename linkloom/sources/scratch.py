@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (a temporary one where that is unset, as in tests) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir. Where that is unset, a temporary one if the whole application
+    is a single process; on several machines a local folder would lose data, so that raises."""
+    app, base = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/linkloom-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="linkloom-"))
+    return f"{base}/linkloom-{app}"
+
+
+def keep(df: DataFrame, tag: str = "t") -> DataFrame:
+    """df, written into the folder and read again: computed once, and its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's folder; DataFrames that still read from it can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
