@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep as materialise  # noqa: F401  (written into the shared folder and read back)
+
 #: White space of all the word-based operators, as a Java regex and as characters to trim.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 #: Rows up to which a lookup table is broadcast; above that the join is a shuffle.
 BROADCAST_ROWS = 10_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write df into the shared folder and read it back: computed once, and its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/linkloom-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words of 64 bits in a bitmap of hashes, which bounds what is broadcast (2 MB of bits).
+BITMAP_WORDS = 1 << 18
 
 
 def lookup(small: DataFrame) -> tuple[DataFrame, int]:
@@ -39,10 +23,18 @@ def lookup(small: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(small) if n <= BROADCAST_ROWS else small), n
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Cap the rows of an Arrow batch, as texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch, column: int, most: int = 1 << 21):
+    """A record batch in slices whose texts in a column have at most so many bytes together, or that are one row."""
+    sizes, at, held = batch.column(column).cast("large_string").cast("large_binary"), 0, 0
+    import pyarrow.compute as pc
+
+    for i, n in enumerate(pc.fill_null(pc.binary_length(sizes), 0).to_pylist()):
+        if i > at and held + n > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def words(text: Column) -> Column:
@@ -61,10 +53,34 @@ def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *more)
 
 
+def bitmap(hashes: DataFrame, col: str) -> DataFrame:
+    """(__word, __bits): a bitmap of the longs in col, at most BITMAP_WORDS rows however many there are."""
+    return hashes.groupBy(F.expr(f"shiftrightunsigned(`{col}`, 6) & {BITMAP_WORDS - 1}").alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))")).alias("__bits"))
+
+
+def marked(df: DataFrame, col: str, bits: DataFrame) -> DataFrame:
+    """df with __maybe: false where the long in col is surely not in the bitmap. Nothing is shuffled."""
+    d = df.join(F.broadcast(bits), F.expr(f"shiftrightunsigned(`{col}`, 6) & {BITMAP_WORDS - 1}") == F.col("__word"), "left")
+    return d.withColumn("__maybe", F.coalesce(F.expr(f"shiftrightunsigned(__bits, cast(`{col}` & 63 as int)) & 1 = 1"), F.lit(False))).drop("__word", "__bits")
+
+
+def same_key(a: str, b: str) -> Column:
+    """Rows of aliases a and b have an equal (__id, __th)."""
+    return F.col(f"{a}.__th").eqNullSafe(F.col(f"{b}.__th")) & F.col(f"{a}.__id").eqNullSafe(F.col(f"{b}.__id"))
+
+
 def rows_with_key(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__row (see whole_rows), __id and __th of the rows of docs whose key is one of keys (__id, __th)."""
-    d, k = whole_rows(docs, *row_key(docs, id_col, text_col)).alias("d"), keys.select("__id", "__th").alias("k")
-    return d.join(k, F.col("d.__th").eqNullSafe(F.col("k.__th")) & F.col("d.__id").eqNullSafe(F.col("k.__id")), "left_semi")
+    """__row (see whole_rows), __id and __th of the rows of docs whose key is one of keys (__id, __th; materialised, each
+    once). Only rows that a bitmap of the keys lets through are shuffled; a semi join would be moved below the bitmap."""
+    some = marked(whole_rows(docs, *row_key(docs, id_col, text_col)), "__th", bitmap(keys, "__th")).where("__maybe").drop("__maybe")
+    return some.alias("d").join(keys.select("__id", "__th").alias("k"), same_key("d", "k")).select("d.*")
+
+
+def rows_without_key(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As rows_with_key, for the rows whose key is none of keys. Rows that the bitmap clears pass without a shuffle."""
+    d = marked(whole_rows(docs, *row_key(docs, id_col, text_col)), "__th", bitmap(keys, "__th"))
+    some = d.where("__maybe").drop("__maybe").alias("d").join(keys.select("__id", "__th", F.lit(True).alias("__hit")).alias("k"), same_key("d", "k"), "left")
+    return d.where("not __maybe").drop("__maybe").unionByName(some.where("__hit is null").select("d.*"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -12,9 +12,13 @@ cost six keys rather than one per character. Two lines of equal length that shar
 and a variant that is itself a line is at distance 1 from every line it was deleted from; so the earliest line of a key
 decides and pairs within a key are never built. The edit distance to that line is verified on the texts.
 
+Equal lines are told by a 64-bit hash, and of the lines that share a variant's hashed key only the earliest is verified;
+either hash can collide (README has the figures).
+
 Defined cases: a null text stays null, an empty one empty; rows with equal id and text are one document, and so are
-decided alike; rows that share an id with different texts keep their own lines, neither being earlier; extra columns
-stay as they are.
+decided alike; rows that share an id with different texts keep their own lines, neither being earlier than the other's
+line of the same number (a tie); ids that are no integers are ordered by their spelling; very long texts and lines are
+handled whole; an empty table gives an empty result; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -30,8 +35,6 @@ MIN_CHARS = 16
 PARTS, FINER = 3, 8
 #: Longest segment whose single characters are deleted without further subdivision.
 LEAF = 32
-#: Words of 64 bits in the bitmap that spares the shuffle lines without a partner: a bound on what is broadcast.
-BITMAP_WORDS = 1 << 18
 
 
 def _cols(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -40,10 +43,14 @@ def _cols(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """__rk, __th, at (order of the line), no, line, n, h for each line that may go."""
-    first = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
-    d = docs.select(*_cols(docs, id_col, text_col), first.alias("__o"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)") if whole else F.struct(F.col(id_col).isNull().alias("nil"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    d = docs.select(*_cols(docs, id_col, text_col), order.alias("__o"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     d = d.withColumn("n", F.length("line")).where((F.col("n") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    at = (F.col("__o") * F.lit(10**10).cast("decimal(11,0)") + F.col("no").cast("decimal(10,0)")).cast("decimal(31,0)")
+    if whole:  # one number, as its minimum is found by hashing
+        at = (F.col("__o") * F.lit(10**10).cast("decimal(11,0)") + F.col("no").cast("decimal(10,0)")).cast("decimal(31,0)")
+    else:
+        at = F.struct(F.col("__o.nil").alias("nil"), F.col("__o.id").alias("id"), F.col("no").alias("no"))
     return d.select("__rk", "__th", at.alias("at"), "no", "line", "n", F.xxhash64("line").alias("h"))
 
 
@@ -59,18 +66,11 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
 
-def _bitmap(h: DataFrame) -> DataFrame:
-    word = F.expr(f"shiftrightunsigned(h, 6) & {BITMAP_WORDS - 1}")
-    return h.groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("__bits"))
-
-
 def _dominated(lines: DataFrame, first: DataFrame) -> DataFrame:
     """h of the distinct lines that have an earlier line at distance 1. first: h, at, n, keys."""
     keys = first.select("h", F.posexplode("keys").alias("x", "key"))
     near = common.materialise(_shared(keys).select("h", "x", "key").join(first.select("h", "at"), "h"), "near")
-    bits = F.broadcast(_bitmap(near.select("h").distinct()))
-    some = lines.join(bits, F.expr(f"shiftrightunsigned(h, 6) & {BITMAP_WORDS - 1}") == F.col("__word"))
-    some = some.where("shiftrightunsigned(__bits, cast(h & 63 as int)) & 1 = 1").select("h", "at", "line")
+    some = common.marked(lines, "h", common.bitmap(near.select("h").distinct(), "h")).where("__maybe").select("h", "at", "line")
     # One line of each h: that at its earliest place.
     # Not a semi join: the optimizer would move that below the bitmap and shuffle every line.
     some = common.materialise(some.join(near.select("h", "at").distinct(), ["h", "at"]).dropDuplicates(["h", "at"]), "lines")
@@ -110,20 +110,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keys.append(F.expr(f"xxhash64(n + {x // PARTS}, {x % PARTS}, {before}, {after})"))
     # first(keys) would aggregate by sorting, so the keys are kept as columns.
     cols = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    first = lines.select("h", "at", *cols).groupBy("h").agg(F.min("at").alias("at"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(cols))])
-    first = common.materialise(first.select("h", "at", F.array(*[f"k{i}" for i in range(len(cols))]).alias("keys")), "first")
+    first = lines.select("h", "at", *cols).groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(cols))])
+    first = common.materialise(first.select("h", "at", "times", F.array(*[f"k{i}" for i in range(len(cols))]).alias("keys")), "first")
     gone = common.materialise(_dominated(lines.select("h", "at", "line"), first), "dominated")
-    state = first.select("h", F.col("at").alias("first")).join(gone.withColumn("out", F.lit(True)), "h", "left")
-    every = lines.select("h", "__rk", "__th", "at", "no").join(state, "h").where("at <> first or out")
+    # Lines that stand once and have no earlier partner stay; a bitmap keeps them out of the shuffle.
+    state = first.select("h", F.col("at").alias("first"), "times").join(gone.withColumn("out", F.lit(True)), "h", "left").where("times > 1 or out")
+    state = common.materialise(state.drop("times"), "state")
+    some = common.marked(lines.select("h", "__rk", "__th", "at", "no"), "h", common.bitmap(state, "h")).where("__maybe").drop("__maybe")
+    every = some.join(state, "h").where("at <> first or out")
     return every.groupBy("__rk", "__th").agg(F.collect_set("no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, count_cols: bool = False) -> DataFrame:
     """docs with the text that is left; with count_cols also n_lines (all, before) and n_removed."""
-    gone = removed_lines(docs, id_col, text_col, min_chars).alias("g")
+    gone = common.materialise(removed_lines(docs, id_col, text_col, min_chars), "gone")
     text = F.col(f"__row.`{text_col}`")
-    j = common.whole_rows(docs, *_cols(docs, id_col, text_col)).join(gone, ["__rk", "__th"], "left")
-    j = j.select("__row", F.col("g.gone").alias("__gone"), F.split(text, "\n").alias("__ls"))
+    d = common.marked(common.whole_rows(docs, *_cols(docs, id_col, text_col)), "__th", common.bitmap(gone, "__th"))
+    # Documents that surely lose nothing are not shuffled.
+    same = d.where("not __maybe").select("__row", F.lit(None).cast("array<int>").alias("gone"))
+    j = d.where("__maybe").join(gone, ["__rk", "__th"], "left").select("__row", "gone").unionByName(same)
+    j = j.select("__row", F.col("gone").alias("__gone"), F.split(text, "\n").alias("__ls"))
     # __ls is used twice and so is computed once, before the lambda that looks lines up in it.
     j = j.withColumn("__left", F.when(F.col("__gone").isNull(), text).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i)), '\n')")))
     counts = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(n) for c, n in (("__ls", "n_lines"), ("__gone", "n_removed"))] if count_cols else []

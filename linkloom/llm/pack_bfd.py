@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import tokens
 
 CAPACITY = 2048
 TOKENS = 1 << 21
@@ -76,7 +76,6 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, pad_id: int = 0, width: int = 2, hold: int = TOKENS) -> DataFrame:
     """One row per matrix row: row_id, doc_ids, starts, cu_seqlens, input_ids, position_ids, n_tokens."""
-    common.bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"row_id long, doc_ids array<{kind}>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary, n_tokens int"
     if width not in (2, 4) or (width == 2 and capacity > 65536):

@@ -1,15 +1,19 @@
 """Packing into near-equal windows by multiway differencing (Karmarkar-Karp).
 
-Each task reads its documents once, tokenizes them and cuts each into pieces: whole windows first, then pieces of at
-most MAX_PIECE ids. Whole windows stand alone. The other pieces gather until they fill WINDOWS windows; then the
-pieces, sorted by length, form partial partitions of k pieces each, and the two partial partitions with the widest
-spread are merged again and again, the fullest window of one with the emptiest of the other. k starts at the least
-count that could hold the ids and rises by one for as long as a window would exceed the capacity. No shuffle; a task
-holds WINDOWS windows. A lost task gives the same pieces again, as they depend on its rows alone; sequence ids are
-unique over tasks by the task's partition number.
-
-Defined cases: a null or empty text is the end id alone; repeated rows and ids are packed as often as they occur; a
-null id stays null; other columns are not read.
+Each task reads its documents once, tokenizes them and takes whole windows off each, which stand alone. What remains of
+the documents, each under a window long, gathers until it fills WINDOWS windows. Then the pieces, sorted by length, form
+partial partitions of k pieces each (balanced differencing: sorted groups of k, not single pieces, are the first partial
+partitions), and the two partial partitions with the widest spread are merged again and again, the fullest window of one
+with the emptiest of the other. k starts at the least count that could hold the ids and rises for as long as a window
+exceeds the capacity. Remainders stay whole if that leaves at most PADDING unused; if not (where most are longer than
+half a window, no differencing can), they are cut into pieces of at most a half, a third, then a quarter of a window,
+the first that does, so that pieces are no finer than the padding asks for. No shuffle; a task holds WINDOWS windows. A
+lost task gives the same pieces again, as they depend on its rows alone; sequence ids are unique over tasks by the task's
+partition number.
+
+Defined cases: a null or empty text is the end id alone; very long texts are cut into windows, all of them; repeated rows
+and ids are packed as often as they occur; pieces of equal length (ties) keep their order; a null id stays null; an empty
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import tokens
 
 CAPACITY = 1024
-MAX_PIECE = 256
+#: Share of the windows that may stay unused before remainders are cut, and the parts of a window they are cut into.
+PADDING, PARTS = 0.01, 4
 WINDOWS = 512
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -52,21 +57,32 @@ def difference(lengths: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(k)]
 
 
-def windows(lengths: list[int], capacity: int) -> list[list[int]]:
-    """As few windows as differencing can fill without exceeding the capacity."""
+def windows(lengths: list[int], capacity: int, most: int | None = None) -> list[list[int]] | None:
+    """As few windows as differencing can fill without exceeding the capacity; None if these are more than `most`."""
     k = max(1, -(-sum(lengths) // capacity))
-    while True:
+    while most is None or k <= most:
         parts = difference(lengths, k)
-        if all(sum(lengths[i] for i in p) <= capacity for p in parts):
+        over = sum(max(0, sum(lengths[i] for i in p) - capacity) for p in parts)
+        if not over:
             return [p for p in parts if p]
-        k += 1
+        k += max(1, over // capacity)
+    return None
 
 
-def cut(n: int, capacity: int, max_piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole windows, then pieces of max_piece at most."""
-    whole = n - n % capacity
-    out = [(s, capacity) for s in range(0, whole, capacity)]
-    return out + [(s, min(max_piece, n - s)) for s in range(whole, n, max_piece)]
+def cut(lengths: list[int], most: int) -> list[tuple[int, int, int]]:
+    """(index, start, length) of the pieces of at most `most` ids."""
+    return [(i, s, min(most, n - s)) for i, n in enumerate(lengths) for s in range(0, n, most)]
+
+
+def pieces(lengths: list[int], capacity: int, padding: float = PADDING, parts: int = PARTS) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces (index, start, length): remainders whole, or cut no finer than the padding asks for."""
+    ideal = -(-sum(lengths) // capacity)
+    for n in range(1, parts + 1):
+        got = cut(lengths, max(1, capacity // n))
+        found = windows([x[2] for x in got], capacity, None if n == parts else max(ideal, int(sum(lengths) * (1 + padding) / capacity)))
+        if found is not None:
+            return [[got[i] for i in w] for w in found]
+    raise AssertionError("the last attempt has no limit")
 
 
 class _Out:
@@ -83,9 +99,8 @@ class _Out:
         return out
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_piece: int = MAX_PIECE, per_flush: int = WINDOWS, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, padding: float = PADDING, per_flush: int = WINDOWS, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    common.bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches):
@@ -94,16 +109,17 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         enc = tokens.encoder(path)
         tail = np.asarray([end_id], dtype=tokens.ID).tobytes()
         seq = TaskContext.get().partitionId() << 40
-        held: list[tuple] = []
+        held: list[tuple] = []  # document, its ids before the remainder, the remainder's ids, all its ids
         size, out = 0, None
 
         def flush():
             nonlocal seq, held, size
-            for part in windows([h[2] for h in held], capacity):
+            for window in pieces([len(h[2]) // 4 for h in held], capacity, padding):
                 at = 0
-                for i in part:
-                    out.rows.append((*held[i], seq, at))
-                    at += held[i][2]
+                for i, start, length in window:
+                    doc, before, ids, n = held[i]
+                    out.rows.append((doc, before + start, length, ids[4 * start : 4 * (start + length)], n, seq, at))
+                    at += length
                 seq += 1
             held, size = [], 0
 
@@ -113,18 +129,19 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = enc.ids(text.as_py()) + tail
                 n = len(ids) // 4
-                for start, length in cut(n, capacity, max_piece):
-                    row = (doc, start, length, ids[4 * start : 4 * (start + length)], n)
-                    if length == capacity:
-                        out.rows.append((*row, seq, 0))
-                        seq += 1
-                    else:
-                        held.append(row)
-                        size += length
-                    if size >= per_flush * capacity:
-                        flush()
+                whole = n - n % capacity
+                for start in range(0, whole, capacity):
+                    out.rows.append((doc, start, capacity, ids[4 * start : 4 * (start + capacity)], n, seq, 0))
+                    seq += 1
                     if len(out.rows) >= 2000:
                         yield out.batch()
+                if whole < n:
+                    held.append((doc, whole, ids[4 * whole :], n))
+                    size += n - whole
+                if size >= per_flush * capacity:
+                    flush()
+                if len(out.rows) >= 2000:
+                    yield out.batch()
         if held:
             flush()
         while out is not None and out.rows:

@@ -5,13 +5,14 @@ distinct SHINGLE-word shingles is at least SIMILARITY. Fingerprints alone miss m
 in common leaves 3 to 15 bits of 64 different.
 
 Method. MinHash values in BANDS bands of ROWS values: a pair at exactly 0.8 shares no band with a probability of
-(1 - 0.8 ** 5) ** 24 = 7e-5, the only loss. Every candidate is verified on its sets, which are made again for the texts
+(1 - 0.8 ** 4) ** 18 = 8e-5, the only loss. Every candidate is verified on its sets, which are made again for the texts
 that share a band with another class only. First all texts of a bucket are held against one of them; buckets in which several
 classes are left are compared in blocks, whole, without building pairs as rows. The comparisons there are quadratic in
 the bucket.
 
-Defined cases: a text of fewer than SHINGLE words is one shingle; texts without words are equal; all else as in
-simhash_anchor.
+Defined cases: a text of fewer than SHINGLE words is one shingle; texts without words, null or empty, are equal; a tie (a
+similarity of just SIMILARITY) links; very long texts are hashed whole; repeated rows leave one; an empty table gives an
+empty result; extra columns stay as they are; all else as in simhash_anchor.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from . import buckets, common, graph, simhash_anchor
 SHINGLE = 5
 #: Smallest Jaccard similarity of a link, as a fraction.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 18, 4
 #: Rows of a bucket that one task holds against the others.
 BLOCK = 256
 
@@ -57,40 +58,45 @@ def signatures(rows: DataFrame, text_col: str) -> DataFrame:
     """__id, __th, fp, sid (a hash of the shingle set) and bands (none for a text without words)."""
     from xxhash import xxh64_intdigest as h
 
-    common.bounded_batches(rows.sparkSession)
     schema = rows.select("__id", "__th").schema.add("fp", "long").add("sid", "long").add("bands", T.ArrayType(T.LongType()))
 
+    def signed(b):
+        fps, sids, bands = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [[]] * b.num_rows
+        at, starts, hashes, sets = [], [], [], []
+        for i, text in enumerate(b.column(2)):
+            if found := simhash_anchor.shingle_hashes(t := text.as_py()):
+                at.append(i)
+                starts.append(len(hashes))
+                hashes += found
+                sets.append(shingle_set(t))
+                sids[i] = h(sets[-1].tobytes(), 42)
+        if at:
+            fps[at] = simhash_anchor.fingerprint_of(np.asarray(hashes, np.uint64), np.asarray(starts))
+            for i, keys in zip(at, band_keys(sets).view(np.int64), strict=True):
+                bands[i] = keys
+        cols = [b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
     def run(batches):
-        for b in batches:
-            fps, sids, bands = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [[]] * b.num_rows
-            at, starts, hashes, sets = [], [], [], []
-            for i, text in enumerate(b.column(2)):
-                if found := simhash_anchor.shingle_hashes(t := text.as_py()):
-                    at.append(i)
-                    starts.append(len(hashes))
-                    hashes += found
-                    sets.append(shingle_set(t))
-                    sids[i] = h(sets[-1].tobytes(), 42)
-            if at:
-                fps[at] = simhash_anchor.fingerprint_of(np.asarray(hashes, np.uint64), np.asarray(starts))
-                for i, keys in zip(at, band_keys(sets).view(np.int64), strict=True):
-                    bands[i] = keys
-            cols = [b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        for whole in batches:
+            for b in common.slices(whole, 2):
+                yield signed(b)
 
     return rows.select("__id", "__th", F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """sid, fp and the shingle set of nodes (sid, fp, __id, __th)."""
-    d = docs.select(F.col(text_col).alias("__text"), *common.row_key(docs, id_col, text_col)).alias("d")
-    n = nodes.alias("n")
-    d = d.join(n, F.col("d.__th").eqNullSafe(F.col("n.__th")) & F.col("d.__id").eqNullSafe(F.col("n.__id"))).select("n.sid", "n.fp", "d.__text")
+    d = docs.select(F.col(text_col).alias("__text"), *common.row_key(docs, id_col, text_col))
+    # An inner join after the bitmap: most texts are nobody's candidates and are not shuffled.
+    d = common.marked(d, "__th", common.bitmap(nodes, "__th")).where("__maybe").alias("d")
+    d = d.join(nodes.alias("n"), common.same_key("d", "n")).select("n.sid", "n.fp", "d.__text")
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["sid", "fp", "hashes"])
+        for whole in batches:
+            for b in common.slices(whole, 2):
+                sets = [shingle_set(t.as_py()).tobytes() for t in b.column(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["sid", "fp", "hashes"])
 
     # Equal rows give equal sets.
     return common.materialise(d.mapInArrow(run, "sid long, fp long, hashes binary").dropDuplicates(["sid"]), "sets")
@@ -181,13 +187,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     sigs = common.materialise(signatures(rows, text_col), "sigs")
     distinct = simhash_anchor.lowest(sigs)
     # Equal sets are one node of the search by bands; all their fingerprints link.
-    nodes = sigs.where("size(bands) > 0").groupBy("sid").agg(F.min(F.struct("fp", "__id", "__th")).alias("n"), F.max("fp").alias("high"), F.first("bands").alias("bands"))
-    nodes = common.materialise(nodes.select("sid", "n.*", "high", "bands"), "nodes")
+    nodes = sigs.where("size(bands) > 0").groupBy("sid").agg(F.min(F.struct("fp", "__id", "__th")).alias("n"), F.max("fp").alias("high"))
+    nodes = common.materialise(nodes.select("sid", "n.*", "high"), "nodes")
     same = sigs.join(nodes.where("fp <> high").select("sid", F.col("fp").alias("b")), "sid").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
     roots = common.materialise(graph.components(simhash_anchor.link(distinct, **options).union(same)), "roots")
-    keys = _rooted(nodes.select("sid", "fp", "bands"), "fp", roots).select("sid", "root", F.explode("bands").alias("key"))
-    cand = common.materialise(_mixed(keys).select("key", "sid", "root", "one"), "cand")
-    sets = _sets(docs, nodes.join(cand.select("sid").distinct(), "sid", "left_semi").select("sid", "fp", "__id", "__th"), id_col, text_col)
+    # Keys that only one set has go after one aggregation; the rows of the others are found again through a bitmap.
+    keyed = sigs.select("sid", F.explode("bands").alias("key"))
+    shared = common.materialise(keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key"), "shared")
+    some = common.marked(keyed, "key", common.bitmap(shared, "key")).where("__maybe").drop("__maybe").distinct().join(shared, "key")
+    some = common.materialise(some.join(nodes.select("sid", "fp"), "sid"), "some")
+    cand = common.materialise(_mixed(_rooted(some, "fp", roots)).select("key", "sid", "root", "one"), "cand")
+    wanted = nodes.join(cand.select("sid").distinct(), "sid", "left_semi").select("sid", "fp", "__id", "__th")
+    sets = _sets(docs, common.materialise(wanted, "wanted"), id_col, text_col)
     links = _verified(cand.where("root <> one.root").select(F.col("sid").alias("x"), F.col("one.sid").alias("y")).distinct(), sets)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
     # What is left: classes of a bucket that its first row did not join.

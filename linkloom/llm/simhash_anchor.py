@@ -9,8 +9,9 @@ not granted to the second), so work per fingerprint stays bounded as the corpus
 in blocks (see buckets). Groups yield one link per row, not all pairs.
 
 Equal fingerprints are one node. Defined cases: a text without words, empty or null, has fingerprint 0 and links like
-any other; rows with a null id get their class but never name it (a class of null ids alone has a null name); repeated
-rows and ids each get a row.
+any other; very long texts are hashed whole, one after the other; rows with a null id get their class but never name it
+(a class of null ids alone has a null name); repeated rows and ids each get a row; a tie (a bit set in just half of the
+hashes) is a 0; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,22 +65,22 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """keep columns and fp, the fingerprint as a signed long, for each row of docs."""
-    common.bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(batches):
-        for b in batches:
-            n = b.num_columns - 1
-            fps = np.zeros(b.num_rows, np.uint64)
-            rows, starts, hashes = [], [], []
-            for i, text in enumerate(b.column(n)):
-                if found := shingle_hashes(text.as_py(), size):
-                    rows.append(i)
-                    starts.append(len(hashes))
-                    hashes += found
-            if rows:
-                fps[rows] = fingerprint_of(np.asarray(hashes, np.uint64), np.asarray(starts))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(fps.view(np.int64))], names=schema.names)
+        for whole in batches:
+            n = whole.num_columns - 1
+            for b in common.slices(whole, n):
+                fps = np.zeros(b.num_rows, np.uint64)
+                rows, starts, hashes = [], [], []
+                for i, text in enumerate(b.column(n)):
+                    if found := shingle_hashes(text.as_py(), size):
+                        rows.append(i)
+                        starts.append(len(hashes))
+                        hashes += found
+                if rows:
+                    fps[rows] = fingerprint_of(np.asarray(hashes, np.uint64), np.asarray(starts))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(fps.view(np.int64))], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
@@ -243,15 +244,15 @@ def lowest(fps: DataFrame) -> DataFrame:
 
 
 def first_rows(docs: DataFrame, fps: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that are the lowest of their class."""
+    """The rows of docs that are the lowest of their class. Of the others only the keys are shuffled, and the texts that a
+    bitmap of those keys does not clear."""
     best = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
-    best = best.select(F.col("low.__id").alias("__id"), F.col("low.__th").alias("__th")).distinct()
-    best = common.materialise(best, "best").alias("k")
-    kept = common.rows_with_key(docs, best, id_col, text_col)
+    best = common.materialise(best.select(F.col("low.__id").alias("__id"), F.col("low.__th").alias("__th")).distinct(), "best").alias("k")
+    every = common.materialise(fps.groupBy("__id", "__th").count(), "keys").alias("d")
+    gone = common.materialise(every.join(best, common.same_key("d", "k"), "left_anti").select("__id", "__th"), "gone")
+    kept = common.rows_without_key(docs, gone, id_col, text_col)
     # Only if a row that stays stands there more than once do the texts have to be compared, that is, shuffled again.
-    twice = fps.groupBy("__id", "__th").count().where("count > 1").alias("t")
-    on = F.col("t.__th").eqNullSafe(F.col("k.__th")) & F.col("t.__id").eqNullSafe(F.col("k.__id"))
-    if not twice.join(best, on, "left_semi").isEmpty():
+    if not every.where("count > 1").join(best, common.same_key("d", "k"), "left_semi").isEmpty():
         kept = kept.dropDuplicates(["__id", "__th"])
     return kept.select("__row.*")
 

@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 MARK = "▁"
 UNKNOWN = -25.0
 MAX_NODES = 800_000
@@ -108,7 +106,6 @@ def _trie(path: str) -> Trie:
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_words and n_tokens."""
-    common.bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
