@@ -56,11 +56,15 @@ class Labels:
         self.lab = np.concatenate([self.lab, np.arange(len(self.lab), len(self.lab) + n)])
 
     def join(self, x: np.ndarray, y: np.ndarray) -> None:
-        a, b = self.lab[x], self.lab[y]
-        far = a != b
-        if not far.any():
-            return
-        for a, b in np.unique(np.stack([a[far], b[far]], 1), axis=0):  # noqa: PLR1704
-            a, b = self.lab[a], self.lab[b]
-            if a != b:
-                self.lab[self.lab == max(a, b)] = min(a, b)
+        """Joins home x[i] with home y[i] for all i: the larger label hooks onto the smallest it meets, until none is left."""
+        while len(x):
+            a, b = self.lab[x], self.lab[y]
+            far = a != b
+            if not far.any():
+                return
+            x, y, a, b = x[far], y[far], a[far], b[far]
+            up = np.arange(len(self.lab))
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up[up] != up).any():
+                up = up[up]
+            self.lab = up[self.lab]
