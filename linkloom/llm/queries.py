@@ -52,7 +52,9 @@ def op9_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_feistel.pseudonymise(common.read(spark, sf_dir, "documents"), key="a demonstration key")
+    """The key is the text in the file that spark.linkloom.pseudonym.keyFile names; a demonstration key where that is unset."""
+    path = spark.conf.get("spark.linkloom.pseudonym.keyFile", None)
+    return pii_feistel.pseudonymise(common.read(spark, sf_dir, "documents"), spark.read.text(path, wholetext=True) if path else "a demonstration key")
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_matrix, op2_trie_token_counts, op3_preference_pairs, op4_cross_polytope, op5_risk_controlled_rules, op6_deletion_lines, op7_anchor_simhash, op8_raked_mixture, op9_differencing_windows, op10_feistel_pseudonyms)}
