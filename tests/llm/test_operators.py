@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import chat_preference, embed_cross_polytope, line_dedup, mixing, pack_bfd, pack_kk, pii_feistel, quality_rules, simhash_anchor, token_counts, tokens
+from linkloom.llm import chat_preference, common, embed_cross_polytope, line_dedup, mixing, pack_bfd, pack_kk, pii_feistel, quality_rules, simhash_anchor, token_counts, tokens
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, gone string, key string, kept string"
 PROSE = " ".join(f"word{i}" for i in range(60))
@@ -30,17 +30,22 @@ def test_tokens_equal_the_reference_tokenizer():
 
 
 def test_packing_by_differencing(spark):
+    from tokenizers import Tokenizer
+
     d = docs(spark, ODD, [None, 1, 2, 3, 4, 4, 6, 7, 8])
-    rows = pack_kk.pack(d, tokens.default_path(), capacity=64, max_piece=16, per_flush=8).collect()
-    enc = tokens.encoder(tokens.default_path())
-    want = sorted(enc.ids(t) + b"\0\0\0\0" for t in ODD)
-    by = {}
+    rows = pack_kk.pack(d, tokens.default_path(), capacity=64, per_flush=8).withColumn("crc", F.crc32("ids")).collect()
+    hf = Tokenizer.from_file(tokens.default_path())
+    want = [hf.encode(t or "", add_special_tokens=False).ids + [0] for t in ODD]
+    pieces = sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens, r.start, r.length, r.crc) for r in rows)
+    spans = {}
     for r in rows:
-        by.setdefault((r.doc_id, r.doc_tokens), []).append(r)
-        assert zlib.crc32(r.ids) >= 0 and len(r.ids) == 4 * r.length
-    assert sum(r.length for r in rows) * 4 == sum(map(len, want))
-    one = b"".join(r.ids for r in sorted(by[(7, by_len(by, 7))], key=lambda r: r.start))
-    assert one == enc.ids(ODD[7]) + b"\0\0\0\0"
+        spans.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, r.crc))
+    for i, ids in zip([None, 1, 2, 3, 4, 4, 6, 7, 8], want, strict=True):
+        for start, length, crc in spans[i, len(ids)]:
+            assert crc == zlib.crc32(np.asarray(ids[start : start + length], "<u4").tobytes())
+        twice = 2 if i == 4 else 1
+        assert sorted(x for s, n, _ in spans[i, len(ids)] for x in range(s, s + n)) == sorted([*range(len(ids))] * twice)
+    assert sum(n for *_, n, _ in pieces) == sum(map(len, want))
     seqs = {}
     for r in rows:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -53,16 +58,23 @@ def test_packing_by_differencing(spark):
     assert pack_kk.pack(d.limit(0), tokens.default_path()).count() == 0
 
 
-def by_len(by, doc):
-    return next(n for d, n in by if d == doc)
-
-
 def test_differencing_is_near_equal():
     r = random.Random(5)
     lengths = [r.randint(1, 256) for _ in range(2000)]
     parts = pack_kk.windows(lengths, 1024)
     assert sorted(i for p in parts for i in p) == list(range(2000))
-    assert len(parts) <= -(-sum(lengths) // 1024) * 1.02 + 1 and max(sum(lengths[i] for i in p) for p in parts) <= 1024
+    assert len(parts) <= -(-sum(lengths) // 1024) * 1.01 + 1 and max(sum(lengths[i] for i in p) for p in parts) <= 1024
+    assert pack_kk.windows([600, 600, 600], 1024, most=2) is None and len(pack_kk.windows([600, 600, 600], 1024)) == 3
+
+
+def test_remainders_stay_whole_where_the_padding_allows_it():
+    r = random.Random(6)
+    halves = [n for _ in range(500) for n in (lambda a: (a, 1024 - a))(r.randint(1, 1023))]
+    for lengths, whole in ((halves, True), ([r.randint(300, 1023) for _ in range(1000)], False), ([r.randint(1, 150) for _ in range(4000)], True)):
+        got = pack_kk.pieces(lengths, 1024)
+        assert len(got) * 1024 <= sum(lengths) * 1.01 + 1024
+        assert sorted((i, s) for w in got for i, a, n in w for s in range(a, a + n)) == [(i, s) for i, n in enumerate(lengths) for s in range(n)]
+        assert whole == (sum(map(len, got)) == len(lengths)) and all(sum(n for *_, n in w) <= 1024 for w in got)
 
 
 def test_best_fit_decreasing():
@@ -145,17 +157,58 @@ def test_quality_counts_against_plain_python(spark):
         assert g.kept == (not g.base_failed)  # too few labels certify no cutoff
 
 
-def test_certified_cutoffs_are_exact(spark):
+def tail(n, a, k):
     from math import comb
 
+    return sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))
+
+
+def test_certified_cutoffs_are_exact(spark):
     n, a = 400, 0.02
-    rows = [("en", i) for i in range(n)]
-    d = spark.createDataFrame(rows, "stratum string, s_x int")
+    d = spark.createDataFrame([("=en", i) for i in range(n)], "stratum string, s_x int")
     rules = {"x": ("s_x", [399, 398, 397, 396, 395, 394, 380])}
-    cut = quality_rules.cutoffs(d, "stratum", a, 0.05, rules).first().c_x
-    tail = lambda k: sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))
-    ok = [c for c in rules["x"][1] if tail(n - 1 - c) <= 0.05]
-    assert cut == min(ok)
+    cut = quality_rules.cutoffs(d, a, 0.05, rules).first().c_x
+    assert cut == min(c for c in rules["x"][1] if tail(n, a, n - 1 - c) <= 0.05)
+
+
+def test_the_verdict_of_all_rules_together_is_certified(spark):
+    """Each rule alone would certify its cutoffs; what the rules reject together may not exceed the bound."""
+    n, a = 2000, 0.02
+    rules = {r: (f"s_{r}", [99, 49]) for r in "xyz"}
+    rows = [("=en", *(100 if i // 15 == j else 50 if 100 + i // 15 == 100 + j + 3 else 0 for j in range(3))) for i in range(n)]
+    c = quality_rules.cutoffs(spark.createDataFrame(rows, "stratum string, s_x int, s_y int, s_z int"), a, 0.05, rules).first()
+    rejected = [sum(any(r[1 + j] > at[k] for j, k in enumerate("xyz") if at[k] is not None) for r in rows) for at in quality_rules.steps(rules)]
+    want = 0
+    while want < len(rejected) and tail(n, a, rejected[want]) <= 0.05:
+        want += 1
+    assert c.step == want and 0 < want < len(rejected) and all(tail(n, a, 15) <= 0.05 for _ in rules)
+
+
+def test_false_rejection_exceeds_alpha_at_most_delta_of_the_time():
+    """Draws of holdouts from known rates: the climb of the operator, with its exact bound, in plain Python."""
+    r, a, delta, n, bad = np.random.default_rng(8), 0.02, 0.05, 500, 0
+    rate = np.array([0.001, 0.004, 0.012, 0.0201, 0.03, 0.05])  # of good documents above each step's cutoffs
+    most = max(k for k in range(n) if tail(n, a, k) <= delta)
+    for _ in range(2000):
+        u = r.random(n)
+        ok = [(u < p).sum() <= most for p in rate]
+        step = ok.index(False) if False in ok else len(ok)
+        bad += step > 0 and rate[step - 1] >= a
+    assert bad / 2000 <= delta + 3 * (delta * (1 - delta) / 2000) ** 0.5
+
+
+def test_base_failures_and_null_strata(spark):
+    """Good documents that the base rule rejects are no part of the holdout; a null stratum is not the empty one."""
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), lang) for i, lang in enumerate(["en"] * 300 + [None] * 300 + [""] * 300)]
+    short = [(1000 + i, "|" * 50, "en") for i in range(100)]
+    d = spark.createDataFrame(good + short, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in good + short], "doc_id long, quality int, toxic int")
+    v = quality_rules.verdicts(d, labels)
+    feats = common.materialise(v.drop("base_failed", "kept"))
+    cut = {r.stratum: (r.n, r.step) for r in quality_rules.certified(feats, labels).collect()}
+    assert {k: n for k, (n, _) in cut.items()} == {"=en": 300, "": 300, "=": 300} and all(s > 0 for _, s in cut.values())
+    kept = quality_rules.keep_good(d, labels)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r["__id"] for r in v.where("kept").collect()}
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -192,23 +245,65 @@ def test_line_dedup_against_brute_force(spark):
     got = line_dedup.dedup_lines(docs(spark, texts)).orderBy("doc_id")
     assert [x.text for x in got.collect()] == want and got.columns == docs(spark, texts).columns
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
+    named = docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    assert [x.text for x in line_dedup.dedup_lines(named).orderBy("doc_id").collect()] == want
+
+
+def places(fps, crowded):
+    """For every fingerprint the buckets it is home in, and all it goes to."""
+    out = [(set(), set()) for _ in fps]
+    for a, k, z in zip(*simhash_anchor.anchor_rows(fps, crowded), strict=True):
+        out[a][1].add(k)
+        if z == 0:
+            out[a][0].add(k)
+    return out
 
 
 def test_anchor_covering_loses_no_link():
     r = np.random.default_rng(1)
-    x = r.integers(0, 1 << 63, 200)
+    x = r.integers(-(1 << 63), 1 << 63, 300)
     for bits in (1, 2, 3):
         y = x.copy()
         for row in range(len(y)):
-            for b in r.choice(46, bits, replace=False):
-                y[row] ^= np.int64(1) << np.int64(b)
+            for b in r.choice(64, bits, replace=False):
+                y[row] ^= np.int64(np.uint64(1 << int(b)).view(np.int64))
         for crowded in (np.zeros(0, np.int64), np.arange(1 << 23)):
-            places = []
-            for v in (x, y):
-                row, key, role = simhash_anchor.anchor_rows(v, crowded)
-                places.append(({(a, k) for a, k, z in zip(row, key, role, strict=True) if z == 0}, set(zip(row, key, strict=True))))
-            for row in range(len(x)):
-                assert any(a == row and (a, k) in places[1][1] for a, k in places[0][0])
+            for (home, _), (_, every) in zip(places(x, crowded), places(y, crowded), strict=True):
+                assert home & every
+
+
+def links_of(fps):
+    """Classes by brute force in whole numbers: no arrays, no signs."""
+    lab = list(range(len(fps)))
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if bin(a ^ fps[j]).count("1") <= 3:
+                old, new = max(lab[i], lab[j]), min(lab[i], lab[j])
+                lab = [new if v == old else v for v in lab]
+    return lab
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_every_bit_counts_once_the_sign_too(spark):
+    """For each of 64 bits a pair that differs there and in up to two more, a pair with a fourth, and pairs whose XOR is
+    negative with a small absolute value (34 to 63 differing bits), which a count of the absolute value takes for near."""
+    r, fps = random.Random(4), []
+    for b in range(64):
+        for more in (0, 1, 2, 3):
+            a = r.getrandbits(64)
+            other = r.sample([x for x in range(64) if x != b], more)
+            fps += [a, a ^ (1 << b) ^ sum(1 << x for x in other)]
+    for low in (0, 1, 30, 40, 60):
+        a = r.getrandbits(64)
+        fps += [a, a ^ ((1 << 64) - (1 << low))]
+    fps = list(dict.fromkeys(fps))
+    d = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "doc_id long, fp long")
+    for options in ({}, {"refine": 2, "block": 8}):
+        got = {x.doc_id: x.component_id for x in simhash_anchor.classes(d, **options).collect()}
+        assert [got[i] for i in range(len(fps))] == links_of(fps)
 
 
 def test_simhash_classes_and_representatives(spark):
@@ -223,35 +318,57 @@ def test_simhash_classes_and_representatives(spark):
 
 
 def test_crowded_anchors_and_blocks_give_the_same_classes(spark):
-    r = np.random.default_rng(2)
-    centre = int(r.integers(0, 1 << 62))
-    fps = sorted({centre ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 5), replace=False) if b < 63) for _ in range(400)} | {int(v) for v in r.integers(0, 1 << 62, 200)})
-    d = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "doc_id long, fp long")
-    a = np.asarray(fps)
-    lab = np.arange(len(a))
-    for i in range(len(a)):
-        hit = np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3)
-        for v in set(lab[hit]):
-            lab[lab == v] = lab[hit].min()
+    r = random.Random(2)
+    centre = r.getrandbits(64) | 1 << 63
+    fps = sorted({centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(400)} | {r.getrandbits(64) for _ in range(200)})
+    d = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "doc_id long, fp long")
+    want = links_of(fps)
     for options in ({}, {"refine": 5, "block": 16}):
         got = {x.doc_id: x.component_id for x in simhash_anchor.classes(d, **options).collect()}
-        assert [lab[i] for i in range(len(a))] == [lab[got[i]] for i in range(len(a))] and all(got[i] == min(j for j in range(len(a)) if lab[j] == lab[i]) for i in range(len(a)))
+        assert [got[i] for i in range(len(fps))] == want
+
+
+def vector_links(u):
+    """(links, smallest index reachable) of unit rows by brute force."""
+    near = u @ u.T >= 0.95
+    lab = np.arange(len(u))
+    while True:
+        new = np.array([lab[row].min() for row in near])
+        if (new == lab).all():
+            return near.sum(1) - 1, lab
+        lab = new
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize(("dim", "n", "spread", "homes"), [(24, 600, 0.045, 1024), (64, 3000, 0.026, 64), (64, 1500, 0.026, 4), (768, 1500, 0.0075, 32)])
+def test_vectors(spark, dim, n, spread, homes):
+    """Groups of vectors whose cosines lie around the limit; small buckets, so that hashing has several rotations."""
     r = np.random.default_rng(3)
-    c = r.normal(size=(5, 24))
-    x = [(c[i % 5] + r.normal(size=24) * 0.14).tolist() for i in range(120)]
-    rows = [(i, v, "z") for i, v in enumerate(x)] + [(200, x[0], "z"), (201, None, ""), (202, [], ""), (203, [0.0] * 24, ""), (204, [float("nan")] * 24, ""), (None, x[0], ""), (205, [None] * 24, ""), (206, [1.0, 2.0], "")]
-    got = embed_cross_polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string")).collect()
-    assert len(got) == len(rows)
-    ids = [*range(120), 200]
+    c = r.normal(size=(n // 6, dim)) / np.sqrt(dim)
+    x = [(c[i % len(c)] + r.normal(size=dim) * spread).tolist() for i in range(n)]
+    extra = [(n, x[0]), (n + 1, None), (n + 2, []), (n + 3, [0.0] * dim), (n + 4, [float("nan")] * dim), (None, x[0]), (n + 5, [None] * dim), (n + 6, [1.0, 2.0])]
+    d = spark.createDataFrame([(i, v, "z") for i, v in [*enumerate(x), *extra]], "vec_id long, embedding array<double>, kept string")
+    assert bool(embed_cross_polytope.plan(dim, n, homes=homes)[0]) == (homes < n)
+    got = embed_cross_polytope.near_vectors(d, homes=homes, block=64).collect()
+    assert len(got) == n + len(extra)
     u = np.asarray([*x, x[0]])
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    s = u @ u.T >= 0.95
-    links = {g.vec_id: g for g in got}
-    assert sum(links[i].n_links for i in ids) >= 0.99 * (s.sum() - len(ids)) and all(links[i].n_links <= s[k].sum() - 1 for k, i in enumerate(ids))
-    assert all(links[i].n_links == 0 and links[i].component_id == i and links[i].kept for i in (201, 202, 203, 204, 205, 206)) and links[None].n_links == 0
+    want, lab = vector_links(u / np.linalg.norm(u, axis=1)[:, None])
+    by = {g.vec_id: g for g in got}
+    assert want.sum() > n / 2 and sum(by[i].n_links for i in range(n + 1)) >= 0.999 * want.sum() and all(by[i].n_links <= want[i] for i in range(n + 1))
+    assert sum(by[i].component_id != lab[i] for i in range(n + 1)) <= n // 500
+    assert all(by[i].n_links == 0 and by[i].component_id == i and by[i].kept for i in range(n + 1, n + 7)) and by[None].n_links == 0
+
+
+@pytest.mark.parametrize(("dim", "n"), [(16, 10**7), (64, 10**5), (64, 10**8), (768, 10**6)])
+def test_recall_at_just_the_limit(dim, n):
+    """Pairs that the plan has not seen: what all its tables together find."""
+    use, tables = embed_cross_polytope.plan(dim, n)
+    r = np.random.default_rng(99)
+    trials = 4000 if dim < 100 else 600
+    x, z = (v / np.linalg.norm(v, axis=1)[:, None] for v in r.normal(size=(2, trials, dim)))
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    met = embed_cross_polytope.meet(embed_cross_polytope.codes(x, use, range(tables)), embed_cross_polytope.codes(y, use, range(tables))).any(1)
+    assert met.mean() >= 0.999
 
 
 def test_mixture(spark):
@@ -260,8 +377,58 @@ def test_mixture(spark):
     assert len(p) == len(ODD) and all(0 <= x.p <= 1 for x in p)
     assert mixing.sample(d).columns == d.columns and mixing.sample(d.limit(0)).count() == 0
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "source string, lang string, tokens long")
-    w = {(r.source, r.lang): r.w for r in mixing.rake(cells, ["source", "lang"], {}, 0.3, 16, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}).collect()}
-    assert w["a", "x"] + w["a", "y"] == pytest.approx(195 / 2, rel=1e-3) and w["a", "x"] + w["b", "x"] == pytest.approx(0.6 * 195, rel=1e-3)
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}
+    for one_task in (100, 0):
+        w = {(r.source, r.lang): r.tokens * r.p for r in mixing.rake(cells, ["source", "lang"], {}, 0.3, targets, one_task=one_task).collect()}
+        assert w["a", "x"] + w["a", "y"] == pytest.approx(195 / 2, rel=6e-3) and w["a", "x"] + w["b", "x"] == pytest.approx(0.6 * 195, rel=6e-3)
+
+
+def test_mixture_beyond_what_the_tokens_allow(spark):
+    """Targets that 0.8 of the tokens cannot meet: a smaller sample meets them."""
+    cells = spark.createDataFrame([("a", "x", 900), ("a", "y", 50), ("b", "x", 30), ("b", "y", 20)], "source string, lang string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}}
+    raked = mixing.rake(cells, ["source", "lang"], {}, 0.8, targets)
+    assert all(r.got == pytest.approx(r.target, rel=0.01) for r in mixing.shares(raked, ["source", "lang"]).collect())
+    assert 0 < sum(r.tokens * r.p for r in raked.collect()) <= 100 and all(0 <= r.p <= 1 for r in raked.collect())
+
+
+def tempered(have, tau, total):
+    """Shares in proportion to T ** tau, none above its room: values are used up from the smallest on."""
+    full = set()
+    while True:
+        left = total - sum(mixing.ROOM * have[k] for k in full)
+        mass = {k: v**tau for k, v in have.items() if k not in full}
+        over = {k for k, m in mass.items() if left * m / sum(mass.values()) >= mixing.ROOM * have[k]}
+        if not over:
+            return {k: (mixing.ROOM * have[k] if k in full else left * mass[k] / sum(mass.values())) / total for k in have}
+        full |= over
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixture_meets_every_tempered_target(spark, sf):
+    d, dims = common.read(spark, f"/root/testdata/{sf}", "documents"), list(mixing.TAU)
+    raked = mixing.rake(mixing._cells(d.select(*mixing._dims(d, None, "text"), mixing.n_tokens(F.col("text"))), dims), dims, mixing.TAU, mixing.KEEP)
+    cells, got = raked.collect(), {(r.dim, r.value): (r.target, r.got) for r in mixing.shares(raked, dims).collect()}
+    total = sum(c.tokens for c in cells) * mixing.KEEP
+    for dim in dims:
+        have = {}
+        for c in cells:
+            have[c[dim]] = have.get(c[dim], 0) + c.tokens
+        for k, want in tempered(have, mixing.TAU[dim], total).items():
+            assert got[dim, k] == (pytest.approx(want, rel=1e-6), pytest.approx(want, rel=0.01))
+    assert sum(c.tokens * c.p for c in cells) == pytest.approx(total, rel=0.01)
+
+
+def test_targets_that_contradict_one_another_warn(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "y", 100)], "source string, lang string, tokens long")
+    with pytest.warns(UserWarning, match="no sample"):
+        raked = mixing.rake(cells, ["source", "lang"], {}, 0.8, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}})
+    assert all(0 <= r.p <= 1 for r in raked.collect())
+
+
+def test_topics_may_be_a_column(spark):
+    d = docs(spark, [PROSE] * 6).withColumn("topic", F.when(F.col("doc_id") < 2, "law"))
+    assert {(r.topic, r.n_tokens) for r in mixing.probabilities(d).collect()} == {("law", 60), ("", 60)}
 
 
 def test_preferences(spark):
@@ -298,5 +465,5 @@ def luhn(d):
 
 
 def test_feistel_permutes(spark):
-    d = spark.range(35).select(pii_feistel.feistel("t", F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(5), F.lit(7), "k").alias("s"))
+    d = spark.range(35).select(pii_feistel.feistel("t", F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(5), F.lit(7), F.lit("k")).alias("s"))
     assert d.select("s.x", "s.y").distinct().count() == 35 and d.agg(F.max("s.x"), F.max("s.y")).first() == (4, 6)

@@ -1,5 +1,4 @@
 import duckdb
-import numpy as np
 
 import corpus_pipeline as cp
 from linkloom.llm import common, line_dedup, mixing, quality_rules, simhash_anchor, tokens
@@ -16,16 +15,19 @@ def ask(docs, sql):
 
 
 def classes(texts):
-    """Brute force: class of each text by its fingerprint's links."""
-    fps = []
+    """Brute force: class of each text by its fingerprint's links and by five-word shingles."""
+    fps, sets = [], []
     for t in texts:
         h = simhash_anchor.shingle_hashes(t)
         fps.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)))
-    a, lab = np.asarray(fps, np.uint64), np.arange(len(fps))
-    for i in range(len(a)):
-        hit = np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3)
-        for v in set(lab[hit]):
-            lab[lab == v] = lab[hit].min()
+        w = (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    lab = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(lab[i], lab[j]), min(lab[i], lab[j])
+                lab = [new if v == old else v for v in lab]
     return lab
 
 
