@@ -1,4 +1,4 @@
-"""Cleaning expressions over string columns; all but other scripts' letters stay in the JVM."""
+"""Spelling in ASCII and other expressions over string columns; all but other scripts' letters stay in the JVM."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
-
-NON_LATIN = r"[^\x00-\x{024F}]"
+from .rules import literal_map
 
 
 @lru_cache(1)
@@ -48,66 +47,28 @@ def _spell_udf():
     return spell
 
 
-def literal_map(words: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+def is_ascii(c: Column) -> Column:
+    return c.rlike(r"^[\x00-\x7F]*$")
 
 
 def transliterate(c: Column, dictionary: dict[str, str] | None = None, other_scripts: bool = True) -> Column:
-    """ASCII spelling. Words of `dictionary` first, then accented Latin letters, then (a pandas UDF, only where letters
-    are left) other scripts."""
-    ascii_ = lambda x: x.rlike(r"^[\x00-\x7F]*$")
+    """ASCII spelling. Words of a small `dictionary` first (it becomes part of the plan; operators.normalize joins large
+    ones), then accented Latin letters, then (a pandas UDF, only where letters are left) other scripts."""
     out = c
     if dictionary:
         m = literal_map(dictionary)
         out = F.array_join(F.transform(F.split(F.trim(F.regexp_replace(out, r"\s+", " ")), " "), lambda w: F.coalesce(F.try_element_at(m, w), w)), " ")
     out = F.translate(reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), T.LATIN_SPECIAL.items(), out), *_latin())
     if other_scripts:
-        out = F.when(ascii_(out), out).otherwise(_spell_udf()(F.when(~ascii_(out), out)))
-    return F.when(ascii_(c), c).otherwise(out)
-
-
-def map_tokens(c: Column, words: dict[str, str]) -> Column:
-    """Whole words replaced, empty ones dropped."""
-    m = literal_map(words)
-    return F.array_join(F.filter(F.transform(F.split(c, " "), lambda t: F.coalesce(F.try_element_at(m, t), t)), lambda t: t != ""), " ")
+        out = F.when(is_ascii(out), out).otherwise(_spell_udf()(F.when(~is_ascii(out), out)))
+    return F.when(is_ascii(c), c).otherwise(out)
 
 
-def keep_tokens(c: Column, words: list[str], inside: bool = True) -> Column:
+def chosen(c: Column, words: tuple[str, ...], inside: bool = True) -> Column:
+    """The words of a text that are (or are not) among some."""
     s = F.array(*map(F.lit, words))
-    return F.array_join(F.filter(F.split(c, " "), lambda t: F.array_contains(s, t) if inside else ~F.array_contains(s, t) & (t != "")), " ")
-
-
-def fix_digit_letters(c: Column) -> Column:
-    """m0tors -> motors, stee1 -> steel. Neighbouring matches overlap, hence two passes."""
-    for d, letter in T.DIGIT_LETTERS.items():
-        for _ in range(2):
-            c = F.regexp_replace(c, f"([a-z]){d}([a-z])", f"$1{letter}$2")
-        c = F.regexp_replace(c, rf"([a-z]{{2}}){d}\b", f"$1{letter}")
-    return c
-
-
-def skeleton(c: Column) -> Column:
-    """What a name sounds like: 'baabaa paavr' and 'baba power' are both 'b pvr'."""
-    for a, b in (("ph", "f"), ("x", "ks"), ("w", "v"), ("[cq]", "k"), ("z", "j"), ("[aeiouhy]", ""), (r"([bdfgjklmnprstv])\1+", "$1"), (r"\s+", " ")):
-        c = F.regexp_replace(c, a, b)
-    return F.trim(c)
-
-
-def replace_regions(c: Column) -> Column:
-    """Region names that fill a whole part between commas become codes; twice, as neighbours share a comma."""
-    names = sorted(T.REGIONS, key=lambda n: (-len(n), n))
-    for _ in range(2):
-        c = F.regexp_replace(c, r"(^|,)\s*(" + "|".join(names) + r")\s*(,|$)", "$1 <<$2>> $3")
-    m = literal_map(T.REGIONS)
-    parts = F.split(c, "<<|>>")
-    return F.when(c.contains("<<"), F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(m, p), p)).otherwise(p)), "")).otherwise(c)
+    return F.array_join(F.filter(F.split(c, " "), lambda t: (t != "") & (F.array_contains(s, t) if inside else ~F.array_contains(s, t))), " ")
 
 
 def web_domain(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, T.WEB, 1), F.lit(""))
-
-
-def chain(c: Column, *steps: tuple[str, str]) -> Column:
-    for a, b in steps:
-        c = F.regexp_replace(c, a, b)
-    return c

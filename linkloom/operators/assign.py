@@ -18,19 +18,25 @@ def assign_threshold(df: DataFrame, threshold: float, by: str = "score") -> Data
 
 
 def assign_expected(df: DataFrame, p: str = "p") -> DataFrame:
-    """The set of each record of source 1 with the highest expected F0.5, which may be the empty one."""
-    cols = df.columns
-    w = Window.partitionBy("s1_rid")
-    order = w.orderBy(F.desc(p), "src", "cand_rid")
-    d = one_owner(df, p).withColumns(
-        {
-            "_cum": F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_j": F.row_number().over(order), "_tot": F.sum(p).over(w),
-            "_none": F.exp(F.sum(F.log(1 - F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1 - 1e-9)))).over(w)),
-        }
-    )
-    d = d.withColumn("_ef", 1.25 * F.col("_cum") / (0.25 * F.col("_tot") + F.col("_j")))
-    d = d.withColumn("_best", F.max("_ef").over(w)).withColumn("_bj", F.min(F.when(F.col("_ef") == F.col("_best"), F.col("_j"))).over(w))
-    return d.where((F.col("_best") > F.col("_none")) & (F.col("_j") <= F.col("_bj"))).select(*cols)
+    """The set of each record of source 1 with the highest expected F0.5, which may be the empty one.
+
+    The best set of each size holds the most probable pairs, so one walk down a record's sorted pairs (few, as blocking
+    bounds them) finds the best size; of equally good sizes the smallest. The empty set's value is the probability that
+    the record has no match."""
+    best = F.struct(F.col(p).alias("p"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    of = one_owner(df, p).groupBy("s1_rid").agg(F.collect_list(F.struct((-F.col(p)).alias("k"), "src", "cand_rid", best.alias("it"))).alias("of"))
+    of = of.select(F.transform(F.array_sort("of"), lambda x: x["it"]).alias("of"))
+    sure = lambda x: F.least(F.greatest(x["p"].cast("double"), F.lit(0.0)), F.lit(1 - 1e-9))
+    of = of.withColumns({"all": F.aggregate("of", F.lit(0.0), lambda a, x: a + x["p"]), "none": F.exp(F.aggregate("of", F.lit(0.0), lambda a, x: a + F.log(1 - sure(x))))})
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.col("none").alias("value"), F.lit(0).alias("size"))
+
+    def longer(a, x):
+        total, n = a["sum"] + x["p"], a["n"] + 1
+        value = 1.25 * total / (0.25 * F.col("all") + n)
+        return F.struct(total.alias("sum"), n.alias("n"), F.greatest(value, a["value"]).alias("value"), F.when(value > a["value"], n).otherwise(a["size"]).alias("size"))
+
+    size = F.aggregate("of", start, longer)["size"]
+    return of.select(F.explode(F.slice("of", F.lit(1), size)).alias("x")).select("x.row.*")
 
 
 def to_lists(pairs: DataFrame, s1: DataFrame, s23: DataFrame, out: str) -> DataFrame:

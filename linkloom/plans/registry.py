@@ -17,7 +17,7 @@ from . import sql as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-BLOCK = 20
+BLOCK = 50
 
 
 def query(oracle: str | None = None):
@@ -190,9 +190,9 @@ def tfidf_vectors(spark, sf_dir):
     return tfidf.vectors(entities(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
-@query(S.ENT + S.S + S.vectors() + S.search(200, 50, 20, 5, 5, 5))
+@query(S.ENT + S.S + S.vectors() + S.search(50_000, 300, 20, 5, 5, 5))
 def tfidf_search(spark, sf_dir):
-    f = tfidf.search(*sides(spark, sf_dir), depth=50, max_postings=200)
+    f = tfidf.search(*sides(spark, sf_dir))
     return f.select("s1_rid", "src", "cand_rid", *[F.round(c, 6).alias(c) for c in ("cos_name", "cos_addr", "cos_comb")])
 
 
@@ -201,9 +201,9 @@ count(*) over (partition by s1_rid) as n_cands_s1, row_number() over (partition
 round(max(score) over (partition by src, cand_rid) - score, 6) as gap_to_best_in_cand, count(*) over (partition by src, cand_rid) as n_s1_for_cand from """
 
 
-@query(S.SCORED + ",\ntp as (select * exclude (i) from (select *, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as i from sc) where i <= 10) " + CONTEXT + "tp")
+@query(S.SCORED + ",\ntp as (select * exclude (i) from (select *, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as i from sc) where i <= 40) " + CONTEXT + "tp")
 def context_features(spark, sf_dir):
-    d = features.context(features.top_per_s1(with_score(cands(*sides(spark, sf_dir))), 10))
+    d = features.context(features.top_per_s1(with_score(cands(*sides(spark, sf_dir))), 40))
     return d.withColumns({c: F.round(c, 6) for c in ("gap_to_best_in_s1", "gap_to_best_in_cand")})
 
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions import rules as R
 from ..functions import tables as T
 from ..functions.text import _latin
 
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def rx(e: str, *steps: tuple[str, str]) -> str:
-    for a, b in steps:
-        e = f"regexp_replace({e}, '{a.replace(chr(39), chr(39) * 2)}', '{b}', 'g')"
-    return e
-
-
 def translit(c: str) -> str:
     e = c
     for a, b in T.LATIN_SPECIAL.items():
@@ -21,48 +16,22 @@ def translit(c: str) -> str:
     return f"translate({e}, '{_latin()[0]}', '{_latin()[1]}')"
 
 
-def map_tokens(c: str, words: dict[str, str]) -> str:
-    case = " ".join(f"when '{a}' then '{b}'" for a, b in words.items())
-    return f"array_to_string(list_filter(list_transform(string_split({c}, ' '), lambda t: case t {case} else t end), lambda t: t <> ''), ' ')"
-
-
-def keep(c: str, words: list[str], inside: bool = True) -> str:
+def chosen(c: str, words: tuple[str, ...], inside: bool = True) -> str:
     s = ", ".join(f"'{w}'" for w in words)
-    return f"array_to_string(list_filter(string_split({c}, ' '), lambda t: {'t in' if inside else 't <> chr(0) and t not in'} ({s}){'' if inside else ' and t <> ' + chr(39) * 2}), ' ')"
-
-
-def digits(c: str) -> str:
-    for d, x in T.DIGIT_LETTERS.items():
-        c = rx(c, (f"([a-z]){d}([a-z])", rf"\1{x}\2"), (f"([a-z]){d}([a-z])", rf"\1{x}\2"), (rf"([a-z]{{2}}){d}\b", rf"\1{x}"))
-    return c
-
-
-def skeleton(c: str) -> str:
-    return f"trim({rx(c, ('ph', 'f'), ('x', 'ks'), ('w', 'v'), ('[cq]', 'k'), ('z', 'j'), ('[aeiouhy]', ''), *[(f'{x}+', x) for x in 'bdfgjklmnprstv'], (chr(92) + 's+', ' '))})"
-
-
-def regions(c: str) -> str:
-    names = "|".join(sorted(T.REGIONS, key=lambda n: (-len(n), n)))
-    c = rx(c, *[(rf"(^|,)\s*({names})\s*(,|$)", r"\1 <<\2>> \3")] * 2)
-    for n, code in T.REGIONS.items():
-        c = f"replace({c}, '<<{n}>>', '{code}')"
-    return c
+    return f"array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> '' and t {'' if inside else 'not '}in ({s})), ' ')"
 
 
 def clean_ctes(source: str) -> str:
     """CTE `ent`: the rows of CTE `source` (business_name, business_address and others) with the clean columns."""
-    web = T.WEB
+    core = chosen("name_clean", T.LEGAL + T.FILLER, False)
     return f"""
 e1 as materialized (select *, trim(lower({translit("business_name")})) as n0, lower(coalesce({translit("business_address")}, '')) as a0 from {source}),
-e2 as (select *, nullif(regexp_extract(n0, '{web}', 1), '') as web from e1),
-e3 as (select *, trim({rx(digits(rx("coalesce(web, n0)", (chr(92) + "bm/s" + chr(92) + "b", " m/s "), ("['’`]", ""), ("&", " & "))), ("[^a-z0-9&/ ]", " "), ("/", " "), (chr(92) + "bm s" + chr(92) + "b", "m/s"), (chr(92) + "s+", " "))}) as n1,
-  trim({rx("a0", (r"\bn\s*deg\b|\bdeg\b|#", " "), (r"\bno\.", " no "), ("['’`]", ""), (r"\s+", " "))}) as a1 from e2),
-e4 as materialized (select *, {map_tokens("n1", T.NAME_MAP)} as name_clean, trim({rx(regions("a1"), ("[^a-z0-9 ]", " "), (r"\s+", " "))}) as a2, web is not null as is_web, regexp_matches(business_name, '[^\\x00-\\x{{024F}}]') as name_nonlatin from e3),
-e5 as (select *, {keep("name_clean", T.LEGAL)} as legal_form, {keep("name_clean", T.LEGAL + T.FILLER, False)} as core0, {map_tokens("a2", T.ADDR_MAP)} as addr_clean from e4),
-e6 as (select *, case when core0 = '' then name_clean else core0 end as name_core, regexp_extract_all(addr_clean, '\\d+') as nums from e5),
-ent as materialized (select * exclude (n0, a0, web, n1, a1, a2, core0, nums), replace(name_core, ' ', '') as name_compact, {skeleton("name_core")} as name_skel,
+e2 as (select *, nullif(regexp_extract(n0, '{T.WEB}', 1), '') as web from e1),
+e3 as materialized (select *, {R.sql("coalesce(web, n0)", R.NAME)} as name_clean, {R.sql("a0", R.ADDRESS)} as addr_clean, web is not null as is_web, regexp_matches(business_name, '[^\\x00-\\x{{024F}}]') as name_nonlatin from e2),
+e4 as (select *, {chosen("name_clean", T.LEGAL)} as legal_form, coalesce(nullif({core}, ''), name_clean) as name_core, regexp_extract_all(addr_clean, '\\d+') as nums from e3),
+ent as materialized (select * exclude (n0, a0, web, nums), replace(name_core, ' ', '') as name_compact, {R.sql("name_core", R.SOUND)} as name_skel,
   list_filter(nums, lambda x, i: list_position(nums, x) = i) as addr_numbers, regexp_extract_all(addr_clean, '\\b\\d{{5,6}}\\b')[-1] as postcode,
-  len(list_filter(string_split(addr_clean, ' '), lambda t: t in ({", ".join(f"'{w}'" for w in T.LANDMARK)}))) > 0 as is_landmark, addr_clean = '' as addr_missing from e6)"""
+  len(list_filter(string_split(addr_clean, ' '), lambda t: t in ({", ".join(f"'{w}'" for w in T.LANDMARK)}))) > 0 as is_landmark, addr_clean = '' as addr_missing from e4)"""
 
 
 #: Records from documents: the first five words are the name, the next eight the address.
@@ -107,7 +76,7 @@ sk as materialized (select src, rid, country, case when length(name_compact) >=
   case when addr_numbers[1] is not null and length(string_split(name_core, ' ')[1]) >= 3 then addr_numbers[1] || '|' || string_split(name_core, ' ')[1] end as k_num_word,
   case when len(string_split(name_core, ' ')) >= 2 then array_to_string(string_split(name_core, ' ')[1:2], ' ') end as k_two_words from ent)"""
 SIMPLE_PAIRS = [(k, k) for k in ("k_name", "k_num_word", "k_two_words")]
-BASE = ENT + S + DF + RAREST + KEYS + candidates("cand", "keys", KEY_PAIRS, 20)
+BASE = ENT + S + DF + RAREST + KEYS + candidates("cand", "keys", KEY_PAIRS, 50)
 #: A number from 0.001 to 1 that ids fix, where a query needs a score and no model.
 P = "((s1_rid * 7919 + cand_rid * 104729 + src * 31) % 1000 + 1) / 1000.0"
 SCORED = BASE + f",\nsc as materialized (select *, {P} as score from cand)"
