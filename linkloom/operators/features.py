@@ -30,9 +30,10 @@ def with_records(pairs: DataFrame, s1: DataFrame, s23: DataFrame, cols: list[str
     return pairs.join(a, "s1_rid", how).join(b, ["src", "cand_rid"], how)
 
 
-def add_similarity(df: DataFrame, out: str, a: str, b: str, scorer: str) -> DataFrame:
-    """A similarity of two columns. Several of them go through one Arrow pass: nothing is shuffled in between."""
-    return df.withColumn(out, similarity.udf(scorer)(a, b))
+def add_similarities(df: DataFrame, wanted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """df with similarities, name -> (column, column, scorer), by one Arrow pass; nothing is shuffled."""
+    d = df.withColumn("__s", similarity.scores(wanted))
+    return d.withColumns({n: F.col(f"__s.{n}") for n in wanted}).drop("__s")
 
 
 def top_per_s1(df: DataFrame, k: int) -> DataFrame:
@@ -52,24 +53,32 @@ def rule_score(pairs: DataFrame, s1: DataFrame, s23: DataFrame, max_cands: int =
 
 def _score(pairs: DataFrame, s1: DataFrame, s23: DataFrame, max_cands: int, names: list[str]) -> DataFrame:
     p = with_records(pairs.select("s1_rid", "src", "cand_rid"), s1, s23, [*names, "addr_clean"])
-    for c in (*names, "addr_clean"):
-        p = add_similarity(p, f"_s_{c}", f"{c}_1", f"{c}_2", "token_set")
+    p = add_similarities(p, {f"_s_{c}": (f"{c}_1", f"{c}_2", "token_set") for c in (*names, "addr_clean")})
     name = F.greatest(*[F.col(f"_s_{c}") for c in names]) if len(names) > 1 else F.col(f"_s_{names[0]}")
     p = p.select("s1_rid", "src", "cand_rid", F.when(F.col("addr_clean_2") == "", name).otherwise(0.6 * name + 0.4 * F.col("_s_addr_clean")).alias("score"))
     return top_per_s1(p, max_cands)
 
 
+#: Groups within which a pair is compared, and the order of equal scores there.
+WITHIN = {"s1": (["s1_rid"], ["src", "cand_rid"]), "s1_src": (["s1_rid", "src"], ["cand_rid"]), "cand": (["src", "cand_rid"], ["s1_rid"])}
+#: feature -> (kind, group)
+CONTEXT_OF = {
+    "rank_in_s1": ("rank", "s1"), "gap_to_best_in_s1": ("gap", "s1"), "n_cands_s1": ("count", "s1"), "rank_in_s1_src": ("rank", "s1_src"),
+    "rank_in_cand": ("rank", "cand"), "gap_to_best_in_cand": ("gap", "cand"), "n_s1_for_cand": ("count", "cand"),
+}
+
+
 def context(df: DataFrame) -> DataFrame:
     """Ranks, gaps and counts of scored pairs within their record of source 1 and within their candidate."""
-    s, c = Window.partitionBy("s1_rid"), Window.partitionBy("src", "cand_rid")
-    rank = lambda w, *tie: F.row_number().over(w.orderBy(F.desc("score"), *tie)).cast("long")
-    return df.withColumns(
-        {
-            "rank_in_s1": rank(s, "src", "cand_rid"), "gap_to_best_in_s1": F.max("score").over(s) - F.col("score"), "n_cands_s1": F.count(F.lit(1)).over(s),
-            "rank_in_s1_src": rank(Window.partitionBy("s1_rid", "src"), "cand_rid"), "rank_in_cand": rank(c, "s1_rid"),
-            "gap_to_best_in_cand": F.max("score").over(c) - F.col("score"), "n_s1_for_cand": F.count(F.lit(1)).over(c),
-        }
-    )
+
+    def feature(kind: str, group: str) -> Column:
+        by, ties = WITHIN[group]
+        w = Window.partitionBy(*by)
+        if kind == "rank":
+            return F.row_number().over(w.orderBy(F.desc("score"), *ties)).cast("long")
+        return F.count(F.lit(1)).over(w) if kind == "count" else F.max("score").over(w) - F.col("score")
+
+    return df.withColumns({name: feature(*of) for name, of in CONTEXT_OF.items()})
 
 
 def _flag(c: Column) -> Column:
@@ -104,8 +113,7 @@ def pair_features(pairs: DataFrame, s1: DataFrame, s23: DataFrame) -> DataFrame:
     """pairs with all columns they have, ten similarities and fourteen plain features."""
     keep = pairs.columns
     p = with_records(pairs, s1, s23, RECORD)
-    for out, (col, scorer) in SIMILARITIES.items():
-        p = add_similarity(p, out, f"{col}_1", f"{col}_2", scorer)
+    p = add_similarities(p, {out: (f"{col}_1", f"{col}_2", scorer) for out, (col, scorer) in SIMILARITIES.items()})
     sims = [(F.when(~F.col("addr_missing_2"), F.col(o)) if o.startswith("addr") else F.col(o)).alias(o) for o in SIMILARITIES]
     return p.select(*keep, *sims, *[c.alias(n) for n, c in plain_features(p).items()])
 
@@ -162,6 +170,6 @@ def stage2(df: DataFrame, s23: DataFrame) -> DataFrame:
     rec = s23.select("src", "rid", "name_core", "addr_clean")
     d = d.join(rec.select("src", F.col("rid").alias("cand_rid"), F.col("name_core").alias("_na"), F.col("addr_clean").alias("_aa")), ["src", "cand_rid"], "left")
     d = d.join(rec.select(F.col("src").alias("other_src"), F.col("rid").alias("other_rid"), F.col("name_core").alias("_nb"), F.col("addr_clean").alias("_ab")), ["other_src", "other_rid"], "left")
-    for out, a, b in (("sim_name_other", "_na", "_nb"), ("sim_addr_other", "_aa", "_ab")):
-        d = add_similarity(d, out, a, b, "token_set").withColumn(out, F.when(F.col("_nb").isNotNull(), F.col(out)))
+    d = add_similarities(d, {"sim_name_other": ("_na", "_nb", "token_set"), "sim_addr_other": ("_aa", "_ab", "token_set")})
+    d = d.withColumns({c: F.when(F.col("_nb").isNotNull(), F.col(c)) for c in ("sim_name_other", "sim_addr_other")})
     return d.drop("_na", "_aa", "_nb", "_ab", "other_src", "other_rid")

@@ -55,8 +55,9 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def truth(s1: DataFrame, s23: DataFrame) -> DataFrame:
-    """Pairs with equal texts, compared by their SHA-256. One text may be common to very many records: that is the size of the truth."""
-    a = s1.select(F.col("rid").alias("s1_rid"), "country", "digest")
+    """Pairs with equal texts, compared by their SHA-256. A record of the other sources has one owner, the first of source 1
+    with its text, so there are no more pairs than records, however common a text is."""
+    a = s1.groupBy("country", "digest").agg(F.min("rid").alias("s1_rid"))
     return a.join(s23.select("src", F.col("rid").alias("cand_rid"), "country", "digest"), ["country", "digest"]).select("s1_rid", "src", "cand_rid")
 
 
@@ -240,7 +241,7 @@ def extra_features(spark, sf_dir):
 def jaro_winkler(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
     p = features.with_records(cands(s1, s23), s1, s23, ["name_compact"])
-    return features.add_similarity(p, "jw", "name_compact_1", "name_compact_2", "jaro_winkler").select("s1_rid", "src", "cand_rid", F.round("jw", 5).alias("jw"))
+    return features.add_similarities(p, {"jw": ("name_compact_1", "name_compact_2", "jaro_winkler")}).select("s1_rid", "src", "cand_rid", F.round("jw", 5).alias("jw"))
 
 
 @query()
@@ -248,7 +249,8 @@ def string_similarities(spark, sf_dir):
     """All similarities of names and addresses; tests hold them against slow definitions."""
     s1, s23 = sides(spark, sf_dir)
     p = features.with_records(blocking.simple_candidates(s1, s23, 30), s1, s23, ["name_core"])
-    return p.select("s1_rid", "src", "cand_rid", *[similarity.udf(n)("name_core_1", "name_core_2").alias(n) for n in similarity.SCORERS])
+    p = features.add_similarities(p, {n: ("name_core_1", "name_core_2", n) for n in similarity.SCORERS})
+    return p.select("s1_rid", "src", "cand_rid", *[F.round(n, 5).alias(n) for n in similarity.SCORERS])
 
 
 @query()

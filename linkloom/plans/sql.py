@@ -40,7 +40,7 @@ raw as (select doc_id, lang, text, string_split(trim(regexp_replace(coalesce(tex
 rec as (select doc_id as rid, cast(1 + doc_id % 3 as int) as src, 'E' || doc_id as entity_id, coalesce(lang, 'UNKNOWN') as country, array_to_string(ws[1:5], ' ') as business_name, array_to_string(ws[6:13], ' ') as business_address, text from raw)"""
 ENT = "with" + RECORDS + "," + clean_ctes("rec")
 S = ",\ns1 as (select * from ent where src = 1), s23 as (select * from ent where src <> 1)"
-TRUTH = ",\ntruth as (select a.rid as s1_rid, b.src, b.rid as cand_rid from s1 a join s23 b on a.country = b.country and a.text = b.text)"
+TRUTH = ",\ntruth as (select a.rid as s1_rid, b.src, b.rid as cand_rid from (select country, text, min(rid) as rid from s1 group by all) a join s23 b on a.country = b.country and a.text = b.text)"
 WORDS = "list_filter(list_distinct(string_split({c}, ' ')), lambda t: length(t) >= 3 and not regexp_matches(t, '^\\d+$'))"
 DF = f""",
 wd as materialized (select country, w, count(*) as df from (select country, unnest(list_concat({WORDS.format(c="name_core")}, {WORDS.format(c="addr_clean")})) as w from s23) group by all)"""

@@ -36,16 +36,87 @@ def indel_slow(a, b):
     return d[-1][-1]
 
 
-def test_similarities():
+def ratio_slow(a, b):
+    n = len(a) + len(b)
+    return 100 * (n - indel_slow(a, b)) / n if n else 100.0
+
+
+def partial_slow(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    best = 0.0
+    for x, y in ((a, b), (b, a)):
+        if len(x) <= len(y):
+            spans = {(max(s, 0), min(s + len(x), len(y))) for s in range(1 - len(x), len(y))}
+            best = max(best, *(ratio_slow(x, y[s:e]) for s, e in spans))
+    return best
+
+
+def token_set_slow(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = sorted(x & y)
+    whole = [" ".join([*both, *sorted(z)]) for z in (set(), x - y, y - x)]
+    if both and (not x - y or not y - x):
+        return 100.0
+    # The shared words stand before both texts, so only the rest can differ.
+    n = len(whole[1]) + len(whole[2])
+    apart = indel_slow(" ".join(sorted(x - y)), " ".join(sorted(y - x)))
+    return max([100 * (n - apart) / n, *([ratio_slow(whole[0], whole[1]), ratio_slow(whole[0], whole[2])] if both else [])])
+
+
+def jaro_winkler_slow(a, b):
+    if a == b:
+        return 1.0
+    near = max(max(len(a), len(b)) // 2 - 1, 0)
+    pairs, used = [], set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if abs(i - j) <= near and j not in used and a[i] == b[j]:
+                pairs.append((i, j))
+                used.add(j)
+                break
+    if not pairs:
+        return 0.0
+    k, t = len(pairs), sum(a[i] != b[j] for (i, _), j in zip(pairs, sorted(j for _, j in pairs), strict=True)) // 2
+    s = (k / len(a) + k / len(b) + (k - t) / k) / 3
+    p = 0
+    while p < min(4, len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    return s + 0.1 * p * (1 - s) if s > 0.7 else s
+
+
+SLOW = {"ratio": ratio_slow, "token_sort": lambda a, b: ratio_slow(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), "token_set": token_set_slow, "partial": partial_slow, "jaro_winkler": jaro_winkler_slow}
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_similarities(name):
+    """Batches against one pair at a time by plain definitions; long strings, other scripts and empty ones."""
     r = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 9))) for _ in range(2))
-        n = len(a) + len(b)
-        assert sim.ratio(a, b) == pytest.approx(100 * (n - indel_slow(a, b)) / n if n else 100)
-        assert sim.partial(a, b) == pytest.approx(sim.partial(b, a))
-        assert 0 <= sim.token_set(a, b) <= 100
-    assert sim.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
-    assert sim.token_set("a b", "b a c") == 100 and sim.token_set("", "a") == 0 and sim.ratio("", "") == 100
+    word = lambda k: "".join(r.choice("abcé क") for _ in range(k))
+    pairs = [(word(r.randint(0, 9)), word(r.randint(0, 9))) for _ in range(300)] + [(word(r.randint(50, 90)), word(r.randint(60, 150))) for _ in range(6)]
+    pairs += [("", ""), ("a", ""), ("martha", "marhta"), ("a b", "b a c"), ("x" * 64, "x" * 65)]
+    got = sim.SCORERS[name](*map(list, zip(*pairs, strict=True)))
+    assert got.tolist() == pytest.approx([SLOW[name](a, b) for a, b in pairs])
+
+
+#: Golden rows: known values of the five similarities.
+GOLDEN = [
+    ("new york mets", "new york meats", {"ratio": 96.29630, "jaro_winkler": 0.98571}), ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", {"token_sort": 100.0, "token_set": 100.0}),
+    ("fuzzy was a bear", "fuzzy fuzzy was a bear", {"token_sort": 84.21053, "token_set": 100.0}), ("this is a test", "this is a test!", {"ratio": 96.55172, "partial": 100.0}),
+    ("dwayne", "duane", {"jaro_winkler": 0.84}), ("dixon", "dicksonx", {"jaro_winkler": 0.81333}),
+]
+
+
+def test_golden_similarities(spark):
+    from linkloom.operators import features
+
+    d = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(GOLDEN)] + [(99, None, "x")], "i int, a string, b string")
+    rows = features.add_similarities(d, {n: ("a", "b", n) for n in SLOW}).orderBy("i").collect()
+    for row, (*_, want) in zip(rows, GOLDEN, strict=False):
+        assert {n: row[n] for n in want} == pytest.approx(want, abs=1e-5)
+    assert rows[-1].ratio == 0.0 and rows[-1].token_set == 0.0
 
 
 def test_blocks_over_the_limit_give_nothing(spark):
