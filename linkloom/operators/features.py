@@ -42,7 +42,8 @@ def top_per_s1(df: DataFrame, k: int) -> DataFrame:
 
 
 def simple_score(pairs: DataFrame, s1: DataFrame, s23: DataFrame, max_cands: int = 40) -> DataFrame:
-    """score: 0.6 of the name's and 0.4 of the address's token-set similarity, the name's alone if the candidate has no address."""
+    """score: 0.6 of the name's and 0.4 of the address's token-set similarity, the name's alone if the candidate has no address;
+    rounded to nine digits, so that equal scores are ties however they were added up."""
     return _score(pairs, s1, s23, max_cands, ["name_core"])
 
 
@@ -55,7 +56,7 @@ def _score(pairs: DataFrame, s1: DataFrame, s23: DataFrame, max_cands: int, name
     p = with_records(pairs.select("s1_rid", "src", "cand_rid"), s1, s23, [*names, "addr_clean"])
     p = add_similarities(p, {f"_s_{c}": (f"{c}_1", f"{c}_2", "token_set") for c in (*names, "addr_clean")})
     name = F.greatest(*[F.col(f"_s_{c}") for c in names]) if len(names) > 1 else F.col(f"_s_{names[0]}")
-    p = p.select("s1_rid", "src", "cand_rid", F.when(F.col("addr_clean_2") == "", name).otherwise(0.6 * name + 0.4 * F.col("_s_addr_clean")).alias("score"))
+    p = p.select("s1_rid", "src", "cand_rid", F.round(F.when(F.col("addr_clean_2") == "", name).otherwise(0.6 * name + 0.4 * F.col("_s_addr_clean")), 9).alias("score"))
     return top_per_s1(p, max_cands)
 
 

@@ -210,17 +210,16 @@ def context_features(spark, sf_dir):
 
 _B = "cast({} as int)::double"
 _NUM = "case when len(addr_numbers_1) > 0 and len(addr_numbers_2) > 0 then {} end"
-PLAIN = S.BASE + S.paired(*features.RECORD) + f"""
-select s1_rid, src, cand_rid, {_NUM.format(_B.format("(addr_numbers_1[1] = addr_numbers_2[1])"))} as num_first_equal,
+PLAIN_COLS = f"""select s1_rid, src, cand_rid, {_NUM.format(_B.format("(addr_numbers_1[1] = addr_numbers_2[1])"))} as num_first_equal,
 round({_NUM.format("len(list_intersect(addr_numbers_1, addr_numbers_2)) / len(list_distinct(list_concat(addr_numbers_1, addr_numbers_2)))")}, 6) as num_jaccard,
 {_NUM.format(_B.format("(len(list_filter(addr_numbers_1, lambda u: len(list_filter(addr_numbers_2, lambda v: u <> v and (starts_with(u, v) or starts_with(v, u)))) > 0)) > 0)"))} as num_prefix,
 coalesce({_NUM.format("0.0")}, 1.0)::double as num_missing, case when legal_form_1 <> '' and legal_form_2 <> '' then {_B.format("(legal_form_1 = legal_form_2)")} end as legal_equal,
 {_B.format("((legal_form_1 = '') <> (legal_form_2 = ''))")} as legal_one_missing, {_B.format("(name_core_1 = name_core_2)")} as name_exact, {_B.format("(name_skel_1 = name_skel_2)")} as skel_exact,
 length(name_core_1)::double as len_name_1, length(name_core_2)::double as len_name_2, {_B.format("is_web_2")} as web_2, {_B.format("name_nonlatin_2")} as nonlatin_2, {_B.format("addr_missing_2")} as addr_missing_2,
-{_B.format("(is_landmark_1 or is_landmark_2)")} as landmark_any from pr"""
+{_B.format("(is_landmark_1 or is_landmark_2)")} as landmark_any"""
 
 
-@query(PLAIN)
+@query(S.BASE + S.paired(*features.RECORD) + PLAIN_COLS + " from pr")
 def plain_pair_features(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
     p = features.with_records(cands(s1, s23), s1, s23, features.RECORD)
@@ -244,19 +243,24 @@ def jaro_winkler(spark, sf_dir):
     return features.add_similarities(p, {"jw": ("name_compact_1", "name_compact_2", "jaro_winkler")}).select("s1_rid", "src", "cand_rid", F.round("jw", 5).alias("jw"))
 
 
-@query()
+@query(SIMPLE + S.paired("name_core") + S.similarities({n: ("name_core_1", "name_core_2", n) for n in similarity.SCORERS})
+       + "select s1_rid, src, cand_rid, " + ", ".join(f"round({n}, 5) as {n}" for n in similarity.SCORERS) + " from sim")
 def string_similarities(spark, sf_dir):
-    """All similarities of names and addresses; tests hold them against slow definitions."""
+    """All similarities of names."""
     s1, s23 = sides(spark, sf_dir)
     p = features.with_records(blocking.simple_candidates(s1, s23, 30), s1, s23, ["name_core"])
     p = features.add_similarities(p, {n: ("name_core_1", "name_core_2", n) for n in similarity.SCORERS})
     return p.select("s1_rid", "src", "cand_rid", *[F.round(n, 5).alias(n) for n in similarity.SCORERS])
 
 
-@query()
+SIMPLE_SCORED = SIMPLE + S.scored(["name_core"])
+RULE_SCORED = S.BASE + S.scored(["name_core", "name_skel"])
+
+
+@query(SIMPLE_SCORED + "select s1_rid, src, cand_rid, round(score, 6) as score from sc")
 def simple_scores(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
-    return features.simple_score(blocking.simple_candidates(s1, s23), s1, s23)
+    return features.simple_score(blocking.simple_candidates(s1, s23), s1, s23).withColumn("score", F.round("score", 6))
 
 
 def _scored(spark, sf_dir):
@@ -264,16 +268,24 @@ def _scored(spark, sf_dir):
     return s1, s23, features.rule_score(blocking.key_candidates(s1, s23, 50), s1, s23)
 
 
-@query()
+@query(RULE_SCORED + "select s1_rid, src, cand_rid, round(score, 6) as score from sc")
 def rule_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[2]
+    return _scored(spark, sf_dir)[2].withColumn("score", F.round("score", 6))
 
 
-@query()
+_SIMS = {out: (f"{col}_1", f"{col}_2", scorer) for out, (col, scorer) in features.SIMILARITIES.items()}
+_ROUNDED = ("score", "num_jaccard", *_SIMS)
+
+
+@query(RULE_SCORED + ",\nctx as (" + CONTEXT + "sc)" + S.paired(*features.RECORD).replace("pr as", "pf as").replace("from cand c", "from ctx c") + S.similarities(_SIMS, "pf").replace("sim as", "sims as")
+       + ",\n" + "fin as (" + PLAIN_COLS.replace("select s1_rid, src, cand_rid, ", "select s1_rid, src, cand_rid, " + ", ".join(c for c in features.CONTEXT) + ", "
+       + ", ".join(f"case when not addr_missing_2 then {n} end as {n}" if n.startswith("addr") else n for n in _SIMS) + ", ") + " from sims)"
+       + "select * replace (" + ", ".join(f"round({c}, 5) as {c}" for c in _ROUNDED) + ") from fin")
 def pair_features(spark, sf_dir):
     """The 33 features of the first learner."""
     s1, s23, p = _scored(spark, sf_dir)
-    return features.pair_features(features.context(features.top_per_s1(p, 40)), s1, s23)
+    d = features.pair_features(features.context(features.top_per_s1(p, 40)), s1, s23)
+    return d.withColumns({c: F.round(c, 5) for c in _ROUNDED} | {c: F.round(c, 6) for c in ("gap_to_best_in_s1", "gap_to_best_in_cand")})
 
 
 @query(S.SCORED + S.OWNER + "select * from own")
@@ -321,12 +333,7 @@ def blocking_recall(spark, sf_dir):
 GRID = [0.2, 0.35, 0.5, 0.65, 0.8, 0.9]
 
 
-@query(S.SCORED + S.TRUTH + S.OWNER + f""",
-th as (select unnest({GRID}) as threshold), g as (select threshold, own.* from th join own on score >= threshold),
-gp as (select threshold, g.s1_rid, count(*) as n_pred, count(t) as hit from g left join (select distinct *, 1 as t from truth) using (s1_rid, src, cand_rid) group by all),
-nt as (select s1_rid, count(*) as n_truth from (select distinct * from truth) group by all),
-al as (select e.threshold, e.rid as s1_rid, coalesce(n_truth, 0) as n_truth, coalesce(n_pred, 0) as n_pred, coalesce(hit, 0) as hit from (select rid, threshold from s1 cross join th) e left join nt on nt.s1_rid = e.rid left join gp on gp.s1_rid = e.rid and gp.threshold = e.threshold)
-select threshold::double as threshold, round(avg(case when n_truth = 0 and n_pred = 0 then 1.0 when hit = 0 then 0.0 else 1.25 * hit / (0.25 * n_truth + n_pred) end), 6) as macro_f05 from al group by all""")
+@query(S.SCORED + S.TRUTH + S.OWNER + S.grid(GRID) + "select * from grid")
 def threshold_grid(spark, sf_dir):
     s1, s23 = sides(spark, sf_dir)
     return metrics.threshold_grid(with_score(cands(s1, s23)), truth(s1, s23), s1, GRID).withColumn("macro_f05", F.round("macro_f05", 6))
@@ -353,18 +360,18 @@ def match_lists(spark, sf_dir):
 
 
 @query(S.ENT + S.S + S.TRUTH + """,
-k as (select *, row_number() over (partition by country order by rid) as i from s1), kept as (select * from k where i <= 60), nn as (select country, count(*) as n from s1 group by all),
-ow as (select distinct src, cand_rid as rid from truth where s1_rid in (select rid from kept)), de as (select s23.*, row_number() over (partition by s23.country order by rid, src) as i, count(*) over (partition by s23.country) as t
+k as (select *, row_number() over (partition by country order by """ + S.drawn(1, "rid") + """, rid) as i from s1), kept as (select * from k where i <= 800000), nn as (select country, count(*) as n from s1 group by all),
+ow as (select distinct src, cand_rid as rid from truth where s1_rid in (select rid from kept)), de as (select s23.*, row_number() over (partition by s23.country order by """ + S.drawn(1, "rid") + """, src, rid) as i, count(*) over (partition by s23.country) as t
   from s23 left join (select distinct src, cand_rid as rid, 1 as x from truth) o using (src, rid) where x is null)
-select src, rid from kept union all select src, rid from ow union all select src, rid from de left join nn using (country) where i <= ceil(t * least(1.0, 60 / coalesce(n, 1)))""")
+select src, rid from kept union all select src, rid from ow union all select src, rid from de left join nn using (country) where i <= ceil(t * least(1.0, 800000 / coalesce(n, 1)))""")
 def training_universe(spark, sf_dir):
-    """Semi and anti joins; drawn by id here, so that SQL can draw alike."""
+    """Semi and anti joins; an MD5 of the id draws, so that SQL can draw alike."""
     s1, s23 = raw_sides(spark, sf_dir)
-    a, b = sampling.universe(s1, s23, truth(s1, s23), 60, draw=lambda c: c)
+    a, b = sampling.universe(s1, s23, truth(s1, s23), 800_000)
     return a.select("src", "rid").unionByName(b.select("src", "rid"))
 
 
-@query()
+@query(f"select doc_id as s1_rid, {S.drawn(1, 'doc_id')} % 5 = 0 as holdout, {S.drawn(11, 'doc_id')} % 10 as grp from documents where 1 + doc_id % 3 = 1")
 def holdout_split(spark, sf_dir):
     return raw_sides(spark, sf_dir)[0].select(F.col("rid").alias("s1_rid")).select("s1_rid", sampling.is_holdout().alias("holdout"), sampling.group_of().alias("grp"))
 
@@ -457,22 +464,22 @@ def perfect_model_f05(spark, sf_dir):
     return workflows.ceiling(cands(s1, s23), truth(s1, s23), s1).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
-@query()
+@query(SIMPLE_SCORED + S.TRUTH + S.OWNER + S.grid([60.0, 65.0, 70.0, 75.0, 80.0, 85.0, 90.0, 95.0]) + "select * from grid")
 def simple_tuning(spark, sf_dir):
     """F0.5 by threshold of the scores by simple keys."""
     from . import workflows
 
     s1, s23 = sides(spark, sf_dir)
-    return workflows.tune(s1, s23, truth(s1, s23), workflows.simple_pairs, workflows.SIMPLE_GRID, 200_000)[1]
+    return workflows.tune(s1, s23, truth(s1, s23), workflows.simple_pairs, workflows.SIMPLE_GRID, 200_000)[1].withColumn("macro_f05", F.round("macro_f05", 6))
 
 
-@query()
+@query(RULE_SCORED + S.TRUTH + S.OWNER + S.grid([70.0, 75.0, 80.0, 85.0, 90.0]) + "select * from grid")
 def rule_tuning(spark, sf_dir):
     """F0.5 by threshold of the scores by full keys."""
     from . import workflows
 
     s1, s23 = sides(spark, sf_dir)
-    return workflows.tune(s1, s23, truth(s1, s23), workflows.rule_pairs, workflows.RULE_GRID, 50_000, "country")[1]
+    return workflows.tune(s1, s23, truth(s1, s23), workflows.rule_pairs, workflows.RULE_GRID, 50_000, "country")[1].withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 @query()

@@ -124,3 +124,79 @@ qe as (select * from q where field = 'n' and (country, field, term) not in (sele
 em as ({dot.format(a="qe", b="pe")}),
 fnd as ({top("s0", "cos_comb", k)} union {top("s0", "cos_name", kn)} union {top("s0", "cos_addr", ka)} union {top("em", "cos_name", ke)})
 select s1_rid, src, cand_rid, round(cos_name, 6) as cos_name, round(cos_addr, 6) as cos_addr, round((cos_name + cos_addr) / 2, 6) as cos_comb from fnd join full_ using (s1_rid, src, cand_rid)"""
+
+
+def drawn(seed: int, c: str) -> str:
+    """A number of 48 bits that a seed and a value fix."""
+    return f"cast('0x' || md5('{seed}|' || cast({c} as varchar))[1:12] as bigint)"
+
+
+def lcs(name: str, pairs: str) -> str:
+    """CTE `name`: a, b, n, the longest common subsequence of each distinct pair of `pairs` (a query with a and b; a of at
+    most 125 characters), by bits: places of each character of a, then one step for each character of b."""
+    mask = "list_sum(list_transform(range(1, length(a) + 1), lambda i: case when a[i] = c then pow(2, i - 1)::hugeint else 0::hugeint end))::hugeint"
+    return f""",
+{name}_p as materialized (select distinct a, b from ({pairs})),
+{name}_m as materialized (select a, map_from_entries(list_transform(list_distinct(string_split(a, '')), lambda c: (c, {mask}))) as m, pow(2, length(a))::hugeint - 1 as every from (select distinct a from {name}_p)),
+{name} as materialized (select a, b, length(a) - bit_count(list_reduce(list_prepend(every, list_transform(string_split(b, ''), lambda c: coalesce(m[c], 0::hugeint))), lambda s, u: ((s + (s & u)) | (s - (s & u))) & every)) as n
+  from {name}_p join {name}_m using (a) where a <> '' and b <> '')"""
+
+
+_WORDS = "list_filter(string_split({c}, ' '), lambda t: t <> '')"
+
+
+def _sorted(c: str) -> str:
+    return f"array_to_string(list_sort({_WORDS.format(c=c)}), ' ')"
+
+
+def similarity(name: str, scorer: str, pairs: str) -> str:
+    """CTE `name`: a, b, v, a similarity of the distinct pairs of `pairs`."""
+    percent = "case when length({a}) + length({b}) = 0 then 100.0 else 200.0 * coalesce(n, 0) / (length({a}) + length({b})) end"
+    base = f",\n{name}_d as materialized (select distinct a, b from ({pairs}))"
+    if scorer == "jaro_winkler":
+        return base + f",\n{name} as (select a, b, case when a = '' or b = '' then cast(a = b as int) else jaro_winkler_similarity(a, b) end as v from {name}_d)"
+    if scorer in ("ratio", "token_sort"):
+        x, y = ("a", "b") if scorer == "ratio" else (_sorted("a"), _sorted("b"))
+        return base + f",\n{name}_s as (select a, b, {x} as x, {y} as y from {name}_d)" + lcs(f"{name}_l", f"select x as a, y as b from {name}_s") + f""",
+{name} as (select s.a, s.b, {percent.format(a="x", b="y")} as v from {name}_s s left join {name}_l l on l.a = x and l.b = y)"""
+    if scorer == "token_set":
+        words = lambda c: f"list_distinct({_WORDS.format(c=c)})"
+        part = lambda e: f"array_to_string(list_sort({e}), ' ')"
+        only = lambda x, y: part(f"list_filter({words(x)}, lambda t: not list_contains({words(y)}, t))")
+        return base + f""",
+{name}_s as (select a, b, {part(f"list_filter({words('a')}, lambda t: list_contains({words('b')}, t))")} as s, {only("a", "b")} as x, {only("b", "a")} as y from {name}_d)""" + lcs(f"{name}_l", f"select x as a, y as b from {name}_s") + f""",
+{name}_z as (select s.*, coalesce(n, 0) as n, cast(s <> '' as int) as gap, length(s) as ls, length(x) as la, length(y) as lb from {name}_s s left join {name}_l l on l.a = x and l.b = y),
+{name} as (select a, b, case when ls + la = 0 or ls + lb = 0 then 0.0 when gap = 1 and (la = 0 or lb = 0) then 100.0 else greatest(100 - 100.0 * (la + lb - 2 * n) / (2 * (ls + gap) + la + lb),
+  case when gap = 1 then 100 - 100.0 * (gap + la) / (2 * ls + gap + la) end, case when gap = 1 then 100 - 100.0 * (gap + lb) / (2 * ls + gap + lb) end) end as v from {name}_z)"""
+    turned = f"select a, b, case when length(a) <= length(b) then a else b end as x, case when length(a) <= length(b) then b else a end as y from {name}_d union all select a, b, b, a from {name}_d where length(a) = length(b)"
+    return base + f""",
+{name}_t as (select * from ({turned}) where x <> ''),
+{name}_w as materialized (select a, b, x, y[greatest(i, 1):least(i + length(x) - 1, length(y))] as w from (select *, unnest(range(2 - length(x), length(y) + 1)) as i from {name}_t))""" + lcs(f"{name}_l", f"select x as a, w as b from {name}_w") + f""",
+{name}_b as (select w.a, w.b, max({percent.format(a="x", b="w")}) as v from {name}_w w left join {name}_l l on l.a = x and l.b = w group by all),
+{name} as (select d.a, d.b, case when d.a = '' or d.b = '' then (case when d.a = d.b then 100.0 else 0.0 end) else v end as v from {name}_d d left join {name}_b using (a, b))"""
+
+
+def similarities(wanted: dict[str, tuple[str, str, str]], source: str = "pr") -> str:
+    """CTE `sim`: the rows of `source` with similarities, name -> (column, column, scorer)."""
+    ctes = "".join(similarity(f"s_{n}", scorer, f"select {a} as a, {b} as b from {source}") for n, (a, b, scorer) in wanted.items())
+    joins = " ".join(f"join s_{n} on s_{n}.a = {source}.{a} and s_{n}.b = {source}.{b}" for n, (a, b, _) in wanted.items())
+    return ctes + f",\nsim as materialized (select {source}.*, {', '.join(f's_{n}.v as {n}' for n in wanted)} from {source} {joins})"
+
+
+def scored(names: list[str], k: int = 40) -> str:
+    """CTE `sc`: the best k scored pairs of each record, from `cand`."""
+    sims = similarities({f"v_{c}": (f"{c}_1", f"{c}_2", "token_set") for c in (*names, "addr_clean")})
+    name = f"greatest({', '.join(f'v_{c}' for c in names)})"
+    return paired(*names, "addr_clean") + sims + f""",
+sv as (select s1_rid, src, cand_rid, round(case when addr_clean_2 = '' then {name} else 0.6 * {name} + 0.4 * v_addr_clean end, 9) as score from sim),
+sc as materialized (select * exclude (i) from (select *, row_number() over (partition by s1_rid order by score desc, src, cand_rid) as i from sv) where i <= {k})"""
+
+
+def grid(thresholds: list[float]) -> str:
+    """CTE `grid`: threshold, macro_f05, from `own`, `truth` and `s1`."""
+    return f""",
+th as (select unnest({thresholds}) as threshold), g as (select threshold, own.* from th join own on score >= threshold),
+gp as (select threshold, g.s1_rid, count(*) as n_pred, count(t) as hit from g left join (select distinct *, 1 as t from truth) using (s1_rid, src, cand_rid) group by all),
+nt as (select s1_rid, count(*) as n_truth from (select distinct * from truth) group by all),
+al as (select e.threshold, e.rid as s1_rid, coalesce(n_truth, 0) as n_truth, coalesce(n_pred, 0) as n_pred, coalesce(hit, 0) as hit from (select rid, threshold from s1 cross join th) e left join nt on nt.s1_rid = e.rid left join gp on gp.s1_rid = e.rid and gp.threshold = e.threshold),
+grid as (select threshold::double as threshold, round(avg(case when n_truth = 0 and n_pred = 0 then 1.0 when hit = 0 then 0.0 else 1.25 * hit / (0.25 * n_truth + n_pred) end), 6) as macro_f05 from al group by all)"""
