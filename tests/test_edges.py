@@ -1,0 +1,33 @@
+"""Linkage queries on tables with odd rows and on empty ones."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.plans import registry
+
+TEXTS = [None, "", "  \n\t", "one", "north star foods ltd 12 oak street springfield ohio 62704", "north star foods ltd 12 oak street springfield ohio 62704", "NORTH  Star (Foods) 12 oak st, springfield", "é ö ß ltd", "x" * 3000, "12 13 14 15 16 17", "जैन मोटर्स 5 main road", "a | b | c | d | e | f"]
+#: Slow learners aside, one query of each kind.
+NAMES = ["clean_records", "link_exact", "block_keys", "key_candidates", "tfidf_search", "context_features", "plain_pair_features", "extra_features", "string_similarities", "pair_features", "expected_sets", "f05_by_record", "macro_f05", "threshold_grid", "true_pairs", "training_universe", "holdout_split", "clean_report", "stage2_windows", "text_score_features", "pair_text_codes", "rule_tuning"]
+
+
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("linkage"))
+    rows = [(i, t, "en" if i % 4 else None, f"s{i % 2}", 1) for i, t in enumerate(TEXTS * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").withColumns({c: F.lit("clash") for c in ("rid", "src", "country", "k", "w", "df", "score", "__spelt")})
+    d.coalesce(1).write.parquet(f"{at}/odd/documents.parquet")
+    d.limit(0).write.parquet(f"{at}/empty/documents.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_on_odd_and_on_empty_tables(spark, root, name):
+    empty = registry.QUERIES[name](spark, f"{root}/empty")
+    assert len(empty.collect()) <= (8 if name in ("macro_f05", "threshold_grid", "clean_report", "rule_tuning") else 0)
+    got = registry.QUERIES[name](spark, f"{root}/odd")
+    rows = got.collect()
+    if name in ("clean_records", "block_keys"):
+        assert len(rows) == 2 * len(TEXTS)
+    if name in ("link_exact", "f05_by_record", "holdout_split"):
+        assert len(rows) == len([i for i in range(2 * len(TEXTS)) if i % 3 == 0])
+    assert got.columns == empty.columns
