@@ -7,8 +7,10 @@ the result has the padded ids, the cumulative lengths of its segments (cu_seqlen
 positions that restart at 0 with every segment (as a document's part may start later, `starts` gives its first id's
 place in the document). Ids and positions are little-endian unsigned 16- or 32-bit binaries, as `width` says.
 
-Defined cases: a null or empty text is the end id alone; repeated rows and ids are packed as often as they occur; a
-null id stays null; other columns are not read. A lost task gives the same rows again.
+Defined cases: a null or empty text is the end id alone; very long texts are split, losslessly; repeated rows and ids are
+packed as often as they occur; items of equal length (ties) keep their order, and of rows with equal room the last one
+opened takes an item; a null id stays null; an empty table gives an empty result; other columns are not read, whatever
+their names. A lost task gives the same rows again.
 """
 
 from __future__ import annotations

@@ -9,14 +9,14 @@ a trie of at most MAX_NODES nodes and a word more (it starts anew when full, whi
 The model is a list of pieces with log probabilities. A character that no piece covers counts as its UTF-8 bytes, one
 token each, at UNKNOWN per byte. Among segmentations of equal score the one with fewer tokens counts.
 
-Defined cases: null, empty or blank texts have no tokens; a null id stays null; repeated rows count each; other columns
-are not read.
+Defined cases: null, empty or blank texts have no tokens; very long texts are counted whole; among segmentations that tie
+the one with fewer tokens counts; a null id stays null; repeated rows count each; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN = -25.0
 MAX_NODES = 800_000
+SHORT = (1, 2)
 _models: dict[str, Trie] = {}
 
 
@@ -41,31 +42,39 @@ class Trie:
     """Forward scores by prefix. A node is a number; `child` maps node * 2**21 + character to the next node."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.pieces = pieces
+        # Lengths of the pieces of three characters and more by their last three: few places to look from each character.
+        by_end: dict[str, set[int]] = {}
+        for p in pieces:
+            if len(p) > 2:
+                by_end.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {end: (*SHORT, *sorted(n)) for end, n in by_end.items()}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
-        self.score, self.tokens = array("d", [0.0]), array("l", [0])
+        self.score, self.tokens = [0.0], [0]
         self.counts: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The number of tokens of a pre-token."""
         text, at, path = MARK + word, 0, [0]
-        score, tokens, pieces = self.score, self.tokens, self.pieces
+        score, tokens, pieces, lengths, child = self.score, self.tokens, self.pieces, self.lengths, self.child
         for end, c in enumerate(text, 1):
             edge = (at << 21) | ord(c)
-            at = self.child.get(edge, 0)
+            before, at = at, child.get(edge, 0)
             if not at:
-                n = len(c.encode("utf-8", "surrogatepass"))
-                top = (score[path[-1]] + n * UNKNOWN, -tokens[path[-1]] - n)
-                for start in range(max(0, end - self.longest), end):
-                    p = pieces.get(text[start:end])
-                    if p is not None:
-                        top = max(top, (score[path[start]] + p, -tokens[path[start]] - 1))
-                at = self.child[edge] = len(score)
-                score.append(top[0])
-                tokens.append(-top[1])
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                best, fewest = score[before] + n * UNKNOWN, tokens[before] + n
+                for size in lengths.get(text[end - 3 : end] if end > 2 else "", SHORT):
+                    if size <= end and (p := pieces.get(text[end - size : end])) is not None:
+                        start = path[end - size]
+                        s = score[start] + p
+                        if s > best or (s == best and tokens[start] < fewest - 1):
+                            best, fewest = s, tokens[start] + 1
+                at = child[edge] = len(score)
+                score.append(best)
+                tokens.append(fewest)
             path.append(at)
         n = self.counts[word] = tokens[at]
         return n
@@ -83,16 +92,16 @@ class Trie:
         return total
 
     def _alone(self, word: str) -> int:
-        """As insert(), without keeping anything: for huge words, and when the trie is full until the next batch."""
+        """As insert(), without keeping anything: for huge words, and when the trie is full until the next text."""
         text = MARK + word
         best = [(0.0, 0)]
         for end in range(1, len(text) + 1):
             c = text[end - 1]
             n = len(c.encode("utf-8", "surrogatepass"))
             top = (best[-1][0] + n * UNKNOWN, best[-1][1] - n)
-            for start in range(max(0, end - self.longest), end):
-                p = self.pieces.get(text[start:end])
-                if p is not None:
+            for size in self.lengths.get(text[max(0, end - 3) : end], SHORT):
+                start = end - size
+                if start >= 0 and (p := self.pieces.get(text[start:end])) is not None:
                     top = max(top, (best[start][0] + p, best[start][1] - 1))
             best.append(top)
         return -best[-1][1]
@@ -111,10 +120,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         trie = _trie(path)
         for b in batches:
-            if len(trie.score) >= MAX_NODES:
-                trie.clear()
             n_words, n_tokens = [], []
             for text in b.column(1):
+                if len(trie.score) >= MAX_NODES:
+                    trie.clear()
                 words = [w.decode("utf-8", "surrogatepass") for w in text.as_py().encode("utf-8", "surrogatepass").split()] if text.is_valid else []
                 n_words.append(len(words))
                 n_tokens.append(trie.count(words))
