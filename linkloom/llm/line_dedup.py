@@ -1,7 +1,7 @@
-"""Removal of lines that repeat an earlier line, exactly or but for one edit, by deletion neighbourhoods.
+"""Removal of lines that repeat an earlier line, exactly or but for a few edits, by deletion neighbourhoods.
 
-A line of at least MIN_CHARS characters with a word in it goes if an equal line, or one at edit distance 1 (a character
-inserted, deleted or replaced), stands earlier; lines are ordered by document id (null last) and line number. An earlier
+A line of at least MIN_CHARS characters with a word in it goes if an equal line, or one at edit distance EDITS or less (a
+character inserted, deleted or replaced; 1 unless `edits` says otherwise), stands earlier; lines are ordered by document id (null last) and line number. An earlier
 line counts even if it goes itself. All else stays, in order.
 
 Method. Of the distinct lines, two at distance 1 agree but for one character, so they share a variant with that
@@ -12,6 +12,13 @@ cost six keys rather than one per character. Two lines of equal length that shar
 and a variant that is itself a line is at distance 1 from every line it was deleted from; so the earliest line of a key
 decides and pairs within a key are never built. The edit distance to that line is verified on the texts.
 
+That is for the bound of one edit; for a bound of `edits` above it, the same two steps are plainer. Lines are first kept if
+one of the edits + 1 parts of the longer line of a pair stands in another line, shifted by up to `edits` characters. They
+then emit every variant that lacks up to `edits` characters, each either replaced (its gap is part of the key) or extra;
+lines that share a key with s gaps are within s plus the extras of both, so the earliest line for each number of extras
+decides here, too. A line of n characters that passes the first step emits some (2n)^edits / edits! keys, so bounds
+above 2 are for short lines. A bound of 0 leaves only equal lines.
+
 Equal lines are told by a 64-bit hash, and of the lines that share a variant's hashed key only the earliest is verified;
 either hash can collide (README has the figures).
 
@@ -32,6 +39,7 @@ from pyspark.sql import types as T
 from . import common
 
 MIN_CHARS = 16
+EDITS = 1
 PARTS, FINER = 3, 8
 #: Longest segment whose single characters are deleted without further subdivision.
 LEAF = 32
@@ -66,14 +74,24 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
 
+def _texts(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """h, at, line: one line of each h of near, that at its earliest place."""
+    some = common.marked(lines, "h", common.bitmap(near.select("h").distinct(), "h")).where("__maybe").select("h", "at", "line")
+    # Not a semi join: the optimizer would move that below the bitmap and shuffle every line.
+    return common.materialise(some.join(near.select("h", "at").distinct(), ["h", "at"]).dropDuplicates(["h", "at"]), "lines")
+
+
+def _verified(seen: DataFrame, some: DataFrame, edits: int) -> DataFrame:
+    """h of the rows (h, by) whose line is within the bound of that at `by`."""
+    other = some.select(F.col("at").alias("by"), F.col("line").alias("earlier"))
+    return seen.join(some.select("h", "line"), "h").join(other, "by").where(F.levenshtein("line", "earlier", edits) >= 0).select("h").distinct()
+
+
 def _dominated(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """h of the distinct lines that have an earlier line at distance 1. first: h, at, n, keys."""
+    """h of the distinct lines that have an earlier line at distance 1. first: h, at, keys."""
     keys = first.select("h", F.posexplode("keys").alias("x", "key"))
     near = common.materialise(_shared(keys).select("h", "x", "key").join(first.select("h", "at"), "h"), "near")
-    some = common.marked(lines, "h", common.bitmap(near.select("h").distinct(), "h")).where("__maybe").select("h", "at", "line")
-    # One line of each h: that at its earliest place.
-    # Not a semi join: the optimizer would move that below the bitmap and shuffle every line.
-    some = common.materialise(some.join(near.select("h", "at").distinct(), ["h", "at"]).dropDuplicates(["h", "at"]), "lines")
+    some = _texts(lines, near)
     seg = some.join(near.select("h", "x", "key"), "h").withColumns({"full": F.expr(f"length(line) + cast(floor(x / {PARTS}) as int)"), "j": F.col("x") % PARTS})
     _, _, size = _part("line", "length(line)", "full", "j", PARTS)
     start, end = f"cast(floor(j * full / {PARTS}) as int)", f"cast(floor((j + 1) * full / {PARTS}) as int)"
@@ -87,9 +105,44 @@ def _dominated(lines: DataFrame, first: DataFrame) -> DataFrame:
     rows = seg.select("h", "at", F.explode(cut).alias("c")).select("h", "at", "c.kind", "c.k")
     low = rows.groupBy("k").agg(*[F.min(F.when(F.col("kind") == i, F.col("at"))).alias(f"m{i}") for i in range(3)])
     seen = rows.join(low, "k").withColumn("by", F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")))
-    seen = seen.where("by < at").select("h", "by").distinct()
-    other = some.select(F.col("at").alias("by"), F.col("line").alias("earlier"))
-    return seen.join(some.select("h", "line"), "h").join(other, "by").where(F.levenshtein("line", "earlier", 1) >= 0).select("h").distinct()
+    return _verified(seen.where("by < at").select("h", "by").distinct(), some, 1)
+
+
+def _dominated_within(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """h of the distinct lines that have an earlier line within a bound above 1. first: h, at, keys."""
+    keys = first.select("h", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+    near = common.materialise(_shared(keys).select("h").distinct().join(first.select("h", "at"), "h"), "near")
+    some = _texts(lines, near)
+    # p: the next place that may be cut, from left to right, so that every choice of places is made once; 0 cuts no more.
+    rows = some.select("h", "at", F.col("line").alias("v"), F.array().cast("array<int>").alias("gaps"), F.lit(0).alias("extra"), F.lit(1).alias("p"))
+    for _ in range(edits):
+        rows = rows.withColumn("p", F.explode(F.expr("if(p <= length(v), concat(array(0), sequence(p, length(v))), array(0))")))
+        rows = rows.withColumn("add", F.explode(F.expr("if(p = 0, array(0), array(0, 1))")))
+        rows = rows.select("h", "at", F.expr("if(p = 0, v, concat(left(v, p - 1), substring(v, p + 1)))").alias("v"), F.expr("if(p = 0 or add = 1, gaps, concat(gaps, array(p)))").alias("gaps"),
+                           (F.col("extra") + F.col("add")).alias("extra"), F.expr("if(p = 0, length(v) + 1, p)").alias("p"))
+    rows = rows.select("h", "at", "extra", F.size("gaps").alias("gone"), F.xxhash64("v", "gaps").alias("k"))
+    low = rows.groupBy("k").agg(*[F.min(F.when(F.col("extra") == i, F.col("at"))).alias(f"m{i}") for i in range(edits + 1)])
+    by = F.least(*[F.when(F.col("gone") + F.col("extra") + i <= edits, F.col(f"m{i}")) for i in range(edits + 1)])
+    return _verified(rows.join(low, "k").withColumn("by", by).where("by < at").select("h", "by").distinct(), some, edits)
+
+
+def _coarse(edits: int) -> list[Column]:
+    """Hashed keys of a line; any two lines within the bound share one. For one edit, what a line keeps without a third of
+    it; above, the parts of the line and what may stand for a longer line's parts."""
+    if edits == 1:
+        keys = []
+        for x in range(2 * PARTS):
+            before, after, _ = _part("line", "n", f"n + {x // PARTS}", str(x % PARTS), PARTS)
+            keys.append(f"xxhash64(n + {x // PARTS}, {x % PARTS}, {before}, {after})")
+        return [F.expr(k) for k in keys]
+    out = []
+    for j in range(edits + 1):
+        for more in range(edits + 1):
+            start, end = (f"cast(floor({j + i} * (n + {more}) / {edits + 1}) as int)" for i in (0, 1))
+            for shift in range(-edits, edits + 1):
+                key = f"xxhash64(n + {more}, {j}, substring(line, {start} + {shift} + 1, {end} - {start}))"
+                out.append(F.expr(f"if({start} + {shift} >= 0 and {end} + {shift} <= n, {key}, null)"))
+    return out
 
 
 def _finer(seg: DataFrame) -> DataFrame:
@@ -101,18 +154,18 @@ def _finer(seg: DataFrame) -> DataFrame:
     return common.materialise(_shared(x), "finer")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """__rk, __th, gone: for each document that loses lines, their numbers from 0."""
+    if edits < 0:
+        raise ValueError("edits is 0 or more")
     lines = _lines(docs, id_col, text_col, min_chars)
-    keys = []
-    for x in range(2 * PARTS):
-        before, after, _ = _part("line", "n", f"n + {x // PARTS}", str(x % PARTS), PARTS)
-        keys.append(F.expr(f"xxhash64(n + {x // PARTS}, {x % PARTS}, {before}, {after})"))
+    keys = _coarse(edits) if edits else []
     # first(keys) would aggregate by sorting, so the keys are kept as columns.
     cols = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     first = lines.select("h", "at", *cols).groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(cols))])
     first = common.materialise(first.select("h", "at", "times", F.array(*[f"k{i}" for i in range(len(cols))]).alias("keys")), "first")
-    gone = common.materialise(_dominated(lines.select("h", "at", "line"), first), "dominated")
+    texts = lines.select("h", "at", "line")
+    gone = common.materialise(_dominated(texts, first) if edits == 1 else _dominated_within(texts, first, edits) if edits else first.select("h").where("false"), "dominated")
     # Lines that stand once and have no earlier partner stay; a bitmap keeps them out of the shuffle.
     state = first.select("h", F.col("at").alias("first"), "times").join(gone.withColumn("out", F.lit(True)), "h", "left").where("times > 1 or out")
     state = common.materialise(state.drop("times"), "state")
@@ -121,9 +174,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return every.groupBy("__rk", "__th").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, count_cols: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, count_cols: bool = False, edits: int = EDITS) -> DataFrame:
     """docs with the text that is left; with count_cols also n_lines (all, before) and n_removed."""
-    gone = common.materialise(removed_lines(docs, id_col, text_col, min_chars), "gone")
+    gone = common.materialise(removed_lines(docs, id_col, text_col, min_chars, edits), "gone")
     text = F.col(f"__row.`{text_col}`")
     d = common.marked(common.whole_rows(docs, *_cols(docs, id_col, text_col)), "__th", common.bitmap(gone, "__th"))
     # Documents that surely lose nothing are not shuffled.

@@ -249,6 +249,59 @@ def test_line_dedup_against_brute_force(spark):
     assert [x.text for x in line_dedup.dedup_lines(named).orderBy("doc_id").collect()] == want
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("edits", "alphabet"), [(0, "ab "), (2, "ab "), (2, "abcdefghij "), (3, "abcd ")])
+def test_line_dedup_with_other_bounds_against_brute_force(spark, edits, alphabet):
+    """Lines at distances around the bound, of unequal lengths, periodic ones, chains and ties."""
+    r = random.Random(edits)
+    some = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    base = [some(r.choice([9, 14, 22])) for _ in range(10)] + ["ab" * 6, "a" * 9, "a" * 12, "abcab" * 3]
+
+    def edit(s):
+        for _ in range(r.randint(0, edits + 2)):
+            i = r.randrange(len(s) + 1)
+            s = r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice(alphabet) + s[i + 1 :], s[:i] + r.choice(alphabet) + s[i:]])
+        return s
+
+    texts = ["\n".join([edit(r.choice(base)) for _ in range(4)]) for _ in range(30)] + [None, "", "a" * 11]
+    seen, want = [], []
+    for t in texts:
+        left = []
+        for x in (t or "").split("\n"):
+            counts = len(x) >= 8 and x.strip()
+            if not (counts and any(distance(x, s) <= edits for s in seen)):
+                left.append(x)
+            seen += [x] if counts else []
+        want.append(None if t is None else "\n".join(left))
+    got = line_dedup.dedup_lines(docs(spark, texts), min_chars=8, edits=edits)
+    assert [x.text for x in got.orderBy("doc_id").collect()] == want
+    assert line_dedup.dedup_lines(docs(spark, texts).limit(0), edits=edits).count() == 0
+
+
+def test_any_two_lines_within_the_bound_share_a_first_key(spark):
+    r = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = b = "".join(r.choice("abc") for _ in range(r.randint(8, 40)))
+        for _ in range(2):
+            i = r.randrange(len(b) + 1)
+            b = r.choice([b[:i] + b[i + 1 :], b[:i] + "z" + b[i + 1 :], b[:i] + "y" + b[i:]])
+        pairs.append((a, b))
+    rows = spark.createDataFrame([(i, x, len(x)) for i, p in enumerate(pairs) for x in p], "i int, line string, n int").select("i", F.array_compact(F.array(*line_dedup._coarse(2))).alias("k")).collect()
+    of = {}
+    for row in rows:
+        of.setdefault(row.i, []).append(set(row.k))
+    assert all(x & y for x, y in of.values())
+
+
 def places(fps, crowded):
     """For every fingerprint the buckets it is home in, and all it goes to."""
     out = [(set(), set()) for _ in fps]
