@@ -17,7 +17,7 @@ one of the edits + 1 parts of the longer line of a pair stands in another line,
 then emit every variant that lacks up to `edits` characters, each either replaced (its gap is part of the key) or extra;
 lines that share a key with s gaps are within s plus the extras of both, so the earliest line for each number of extras
 decides here, too. A line of n characters that passes the first step emits some (2n)^edits / edits! keys, so bounds
-above 2 are for short lines. A bound of 0 leaves only equal lines.
+above 1 are for short lines. A bound of 0 removes only equal lines.
 
 Equal lines are told by a 64-bit hash, and of the lines that share a variant's hashed key only the earliest is verified;
 either hash can collide (README has the figures).
