@@ -27,6 +27,8 @@ other; an empty table gives an empty result; other columns are not read, whateve
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +55,22 @@ FIRST_DAY = "1901-01-01"
 WALK = 64
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once and standing once in the plan, however often body names it. A plain Column
+    is copied at each use: values built upon one another made the plan 60,000 nodes, which every task read and kept."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(kind: str | Column, x: Column, y: Column, nx: Column, ny: Column, key: Column) -> Column:
     """A struct (x, y): the image of (x, y) under a permutation of [0, nx) x [0, ny)."""
     start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), nx.cast("long").alias("nx"), ny.cast("long").alias("ny"))
     name = kind if isinstance(kind, Column) else F.lit(kind)
 
-    def step(s, r):
-        f = F.conv(F.substring(F.sha2(F.concat_ws("|", key, name, r.cast("string"), s["nx"].cast("string"), s["ny"].cast("string"), s["y"].cast("string")), 256), 1, 13), 16, 10).cast("long")
+    def step(own, s, r):
+        f = F.conv(F.substring(F.sha2(F.concat_ws("|", own, r.cast("string"), s["nx"].cast("string"), s["ny"].cast("string"), s["y"].cast("string")), 256), 1, 13), 16, 10).cast("long")
         return F.struct(s["y"].alias("x"), ((s["x"] + f) % s["nx"]).alias("y"), s["ny"].alias("nx"), s["nx"].alias("ny"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return _let(F.concat_ws("|", key, name), lambda own: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, r: step(own, s, r)))
 
 
 def _ten(n: Column) -> Column:
@@ -76,18 +84,25 @@ def _zeros(v: Column, n) -> Column:
 
 def _digits(kind: str | Column, d: Column, key: Column) -> Column:
     """Permutes a string of 2 to 18 digits among those of its length."""
-    n = F.length(d)
-    a = F.floor(n / 2).cast("int")
-    out = feistel(kind, F.left(d, a), F.right(d, n - a), _ten(a), _ten(n - a), key)
-    return F.concat(_zeros(out["x"], a), _zeros(out["y"], n - a))
+
+    def moved(d):
+        n = F.length(d)
+        a = F.floor(n / 2).cast("int")
+        return _let(feistel(kind, F.left(d, a), F.right(d, n - a), _ten(a), _ten(n - a), key), lambda out: F.concat(_zeros(out["x"], a), _zeros(out["y"], n - a)))
+
+    return _let(d, moved)
 
 
 def _long_digits(kind: str, d: Column, key: Column) -> Column:
     """Permutes a string of 2 to 36 digits among those of its length."""
-    a = F.floor(F.length(d) / 2).cast("int")
-    head = _digits(F.concat(F.lit(f"{kind}|"), F.right(d, F.length(d) - a)), F.left(d, a), key)
-    both = F.concat(head, _digits(F.concat(F.lit(f"{kind}|"), head), F.right(d, F.length(d) - a), key))
-    return F.when(F.length(d) <= 18, _digits(kind, d, key)).otherwise(both)
+
+    def moved(d):
+        a = F.floor(F.length(d) / 2).cast("int")
+        head = _digits(F.concat(F.lit(f"{kind}|"), F.right(d, F.length(d) - a)), F.left(d, a), key)
+        both = _let(head, lambda head: F.concat(head, _digits(F.concat(F.lit(f"{kind}|"), head), F.right(d, F.length(d) - a), key)))
+        return F.when(F.length(d) <= 18, _digits(kind, d, key)).otherwise(both)
+
+    return _let(d, moved)
 
 
 def _only(m: Column) -> Column:
@@ -96,8 +111,7 @@ def _only(m: Column) -> Column:
 
 def _refill(m: Column, digits: Column) -> Column:
     """m with its digits replaced by `digits` in order; all else stays where it stands."""
-    at = lambda i: F.substring(m, i, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(at(i).rlike("[0-9]"), F.substring(digits, F.length(_only(F.left(m, i))), F.lit(1))).otherwise(at(i))), "")
+    return _let(digits, lambda d: F.array_join(F.transform(F.split(m, "[0-9]"), lambda gap, i: F.concat(gap, F.substring(d, i + 1, F.lit(1)))), ""))
 
 
 def luhn_sum(d: Column) -> Column:
@@ -108,7 +122,7 @@ def luhn_sum(d: Column) -> Column:
 
 def mod97(account: Column) -> Column:
     """An account number modulo 97: its first four characters last, letters as 10 to 35."""
-    turned = F.concat(F.substring(account, F.lit(5), F.length(account) - 4), F.left(account, F.lit(4)))
+    turned = _let(account, lambda a: F.concat(F.substring(a, F.lit(5), F.length(a) - 4), F.left(a, F.lit(4))))
     chars = F.transform(F.regexp_extract_all(turned, F.lit("[A-Z0-9]"), F.lit(0)), lambda c: F.ascii(c))
     return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c < 65, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97))
 
@@ -148,64 +162,64 @@ def kind_of(m: Column) -> Column:
 
 
 def _days(i: Column, key: Column) -> Column:
-    moved = feistel("date", F.floor(i / DAYS[1]), i % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key)
-    return moved["x"] * DAYS[1] + moved["y"]
+    return _let(feistel("date", F.floor(i / DAYS[1]), i % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key), lambda moved: moved["x"] * DAYS[1] + moved["y"])
 
 
 def _date(m: Column, key: Column) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     day = lambda i: F.date_add(first, i.cast("int"))
     i = F.datediff(F.to_date(F.try_to_timestamp(_day(m), F.lit("yyyy-MM-dd"))), first).cast("long")
+    late = m.contains("/") & (F.substring(m, 1, 2) > "12")
     start = F.struct(i.alias("i"), F.lit(False).alias("done"))
 
     def walk(s, _):
-        to = _days(s["i"], key)
-        return F.when(s["done"], s).otherwise(F.struct(to.alias("i"), (F.dayofmonth(day(to)) > 12).alias("done")))
+        return F.when(s["done"], s).otherwise(_let(_days(s["i"], key), lambda to: F.struct(to.alias("i"), (~late | (F.dayofmonth(day(to)) > 12)).alias("done"))))
 
-    late = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk)
-    late = F.when(late["done"], late["i"]).otherwise(F.raise_error(F.lit("no day from the 13th was met")))
-    write = lambda at, form: F.date_format(day(at), form)
-    return (
-        F.when(m.contains("-"), write(_days(i, key), "yyyy-MM-dd")).when(m.contains("."), write(_days(i, key), "dd.MM.yyyy"))
-        .when(F.substring(m, 1, 2) > "12", write(late, "dd/MM/yyyy")).otherwise(write(_days(i, key), "MM/dd/yyyy"))
-    )
+    def write(s):
+        at = day(F.when(s["done"], s["i"]).otherwise(F.raise_error(F.lit("no day from the 13th was met"))))
+        forms = F.when(m.contains("-"), F.date_format(at, "yyyy-MM-dd")).when(m.contains("."), F.date_format(at, "dd.MM.yyyy"))
+        return forms.when(late, F.date_format(at, "dd/MM/yyyy")).otherwise(F.date_format(at, "MM/dd/yyyy"))
+
+    # A day that may become any other takes one step.
+    return _let(F.aggregate(F.sequence(F.lit(1), F.when(late, F.lit(WALK)).otherwise(F.lit(1))), start, walk), write)
 
 
 def _phone(m: Column, key: Column) -> Column:
-    digits = _only(m)
-    n = F.length(digits)
-    calling = F.regexp_extract(digits, f"^(?:{CALLING}|...)", 0)
-    american = F.concat(F.left(digits, n - 10), _digits("phone", F.right(digits, F.lit(10)), key))
-    abroad = F.concat(calling, _digits(F.concat(F.lit("phone+"), calling), F.right(digits, n - F.length(calling)), key))
-    europe = F.concat(F.left(digits, F.lit(1)), _digits("phone0", F.right(digits, n - 1), key))
-    own = m.rlike(rf"^(?:{PHONE})$")
-    return _refill(m, F.when(own, american).when(m.startswith("+"), abroad).otherwise(europe))
+
+    def moved(digits):
+        n = F.length(digits)
+        calling = F.regexp_extract(digits, f"^(?:{CALLING}|...)", 0)
+        part = lambda stays, kind: F.struct(stays.alias("stays"), kind.alias("kind"))
+        own = m.rlike(rf"^(?:{PHONE})$")
+        parts = F.when(own, part(F.left(digits, n - 10), F.lit("phone"))).when(m.startswith("+"), part(calling, F.concat(F.lit("phone+"), calling))).otherwise(part(F.left(digits, F.lit(1)), F.lit("phone0")))
+        return _let(parts, lambda p: F.concat(p["stays"], _digits(p["kind"], F.right(digits, n - F.length(p["stays"])), key)))
+
+    return _refill(m, _let(_only(m), moved))
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     """The pseudonym of a match of a kind; the match itself if kind is null."""
-    only = _only(m)
-    payload = _digits("card", F.left(only, F.length(only) - 1), key)
+    payload = _let(_only(m), lambda only: _digits("card", F.left(only, F.length(only) - 1), key))
     # The check digit is the one digit that completes the sum.
-    card = _refill(m, F.concat(payload, ((10 - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10).cast("string")))
-    tail = F.substring(m, F.lit(5), F.length(m) - 4)
-    account = F.concat(F.left(m, F.lit(2)), F.lit("00"), _refill(tail, _long_digits("iban", _only(tail), key)))
-    iban = F.concat(F.left(m, F.lit(2)), _zeros(98 - mod97(F.replace(account, F.lit(" "), F.lit(""))), 2), F.substring(account, F.lit(5), F.length(account)))
+    card = _refill(m, _let(payload, lambda p: F.concat(p, ((10 - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10).cast("string"))))
+    country, tail = F.left(m, F.lit(2)), F.substring(m, F.lit(5), F.length(m) - 4)
+    checked = lambda t: F.concat(country, _zeros(98 - mod97(F.replace(F.concat(country, F.lit("00"), t), F.lit(" "), F.lit(""))), 2), t)
+    iban = _let(_refill(tail, _long_digits("iban", _only(tail), key)), checked)
     area = F.left(m, F.lit(3)).cast("long")
     area = area - F.when(area > 666, 2).otherwise(1)
     nat = feistel("national", area * 99 + F.substring(m, 5, 2).cast("long") - 1, F.right(m, F.lit(4)).cast("long") - 1, F.lit(898 * 99), F.lit(9999), key)
-    got = F.floor(nat["x"] / 99)
-    national = F.concat_ws("-", _zeros(got + F.when(got >= 665, 2).otherwise(1), 3), _zeros(nat["x"] % 99 + 1, 2), _zeros(nat["y"] + 1, 4))
-    o = F.transform(F.split(m, r"\."), lambda v: v.cast("long"))
-    pair = lambda i: F.get(o, F.lit(i)) * 256 + F.get(o, F.lit(i + 1))
-    ip = feistel("ipv4", pair(0), pair(2), F.lit(65536), F.lit(65536), key)
-    ipv4 = F.concat_ws(".", *[x.cast("string") for x in (F.floor(ip["x"] / 256), ip["x"] % 256, F.floor(ip["y"] / 256), ip["y"] % 256)])
-    g, word = _groups(m), F.lit(1 << 32)
-    quad = lambda i: F.get(g, F.lit(i)) * 65536 + F.get(g, F.lit(i + 1))
+    got = lambda n: F.floor(n["x"] / 99)
+    national = _let(nat, lambda n: F.concat_ws("-", _zeros(got(n) + F.when(got(n) >= 665, 2).otherwise(1), 3), _zeros(n["x"] % 99 + 1, 2), _zeros(n["y"] + 1, 4)))
+    pair = lambda o, i: F.get(o, F.lit(i)) * 256 + F.get(o, F.lit(i + 1))
+    ip = _let(F.transform(F.split(m, r"\."), lambda v: v.cast("long")), lambda o: feistel("ipv4", pair(o, 0), pair(o, 2), F.lit(65536), F.lit(65536), key))
+    ipv4 = _let(ip, lambda s: F.concat_ws(".", *[x.cast("string") for c in ("x", "y") for x in (F.floor(s[c] / 256), s[c] % 256)]))
+    word = F.lit(1 << 32)
+    quad = lambda g, i: F.get(g, F.lit(i)) * 65536 + F.get(g, F.lit(i + 1))
     text = lambda s: F.concat_ws(":", *[F.lower(F.hex(v)) for c in ("x", "y") for v in (F.floor(s[c] / 65536).cast("long"), s[c] % 65536)])
-    low = F.concat_ws(":", F.lit("ipv6"), *[F.get(g, F.lit(i)).cast("string") for i in range(4, 8)])
-    high = text(feistel(low, quad(0), quad(2), word, word, key))
-    ipv6 = F.concat_ws(":", high, text(feistel(F.concat(F.lit("ipv6:"), high), quad(4), quad(6), word, word, key)))
+    low = lambda g: F.concat_ws(":", F.lit("ipv6"), *[F.get(g, F.lit(i)).cast("string") for i in range(4, 8)])
+    high = lambda g: _let(feistel(low(g), quad(g, 0), quad(g, 2), word, word, key), text)
+    both = lambda g, h: F.concat_ws(":", h, _let(feistel(F.concat(F.lit("ipv6:"), h), quad(g, 4), quad(g, 6), word, word, key), text))
+    ipv6 = _let(_groups(m), lambda g: _let(high(g), lambda h: both(g, h)))
     email = F.concat(F.lit("user."), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@example.invalid"))
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", _phone(m, key)).when(kind == "national", national)

@@ -517,6 +517,15 @@ def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
 
+def test_pseudonyms_plan_stays_small(spark):
+    """Each task reads the whole plan: values copied at each use made it some 60,000 nodes."""
+    plan, nodes = pii_feistel.pseudonymise(docs(spark, ["x"]), "k")._jdf.queryExecution().analyzed(), 0
+    while plan.children().size():
+        nodes += sum(plan.expressions().apply(i).treeString().count("\n") for i in range(plan.expressions().size()))
+        plan = plan.children().apply(0)
+    assert 1000 < nodes < 5000
+
+
 def test_feistel_permutes(spark):
     d = spark.range(35).select(pii_feistel.feistel("t", F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(5), F.lit(7), F.lit("k")).alias("s"))
     assert d.select("s.x", "s.y").distinct().count() == 35 and d.agg(F.max("s.x"), F.max("s.y")).first() == (4, 6)
